@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from libsight.functions.keys import read_mark
+from libsight.functions.keys import rating, read_mark
 from libsight.operators import reading
 from libsight.plans.registry import Tables, query
 
@@ -196,7 +196,9 @@ def unread_flag(t: Tables) -> DataFrame:
 
 @query(CLOCK + """
 SELECT attachment_key, page, deciseconds FROM heat
-WHERE attachment_key NOT IN (SELECT attachment_key FROM attachments WHERE item_key < 10)""")
+WHERE attachment_key NOT IN (SELECT attachment_key FROM attachments JOIN items USING (item_key)
+                             WHERE regexp_extract(extra, 'lib-rating: ([0-9])', 1) = '0')""")
 def clear_reading(t: Tables) -> DataFrame:
-    removed = t.attachments.where("item_key < 10")
+    unrated = t.items.where(rating("extra") == 0)
+    removed = t.attachments.join(unrated, "item_key", "left_semi")
     return reading.clear_reading(reading.page_heat(_credits(t)), removed)
