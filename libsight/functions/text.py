@@ -157,10 +157,10 @@ def note_markdown(c: Column | str) -> Column:
     later emphasis rules only see running text.
     """
     out = F.coalesce(col(c), F.lit(""))
-    blocks = [(rf"h{n}", "\n" + "#" * n + " ", "\n") for n in range(1, 7)]
-    blocks += [("li", "- ", "\n"), ("blockquote", "> ", "\n")]
-    for tag, before, after in blocks:
-        out = _plain_block(out, tag, before, after)
+    out = _plain_blocks(out, "h([1-6])", lambda level: F.concat(
+        F.lit("\n"), F.repeat(F.lit("#"), level.cast("int")), F.lit(" ")), "\n")
+    out = _plain_blocks(out, "li()", lambda _: F.lit("- "), "\n")
+    out = _plain_blocks(out, "blockquote()", lambda _: F.lit("> "), "\n")
     for pattern, by in (
             (r"(?is)<(?:strong|b)>(.*?)</(?:strong|b)>", "**$1**"),
             (r"(?is)<(?:em|i)>(.*?)</(?:em|i)>", "*$1*"),
@@ -171,25 +171,22 @@ def note_markdown(c: Column | str) -> Column:
     return _unescape(out, quotes=False)
 
 
-def _plain_block(c: Column, tag: str, before: str, after: str) -> Column:
-    """Replace each ``<tag>…</tag>`` by its tag-free trimmed body between two marks.
+def _plain_blocks(c: Column, tag: str, before, after: str) -> Column:
+    """Replace each block by its tag-free trimmed body between two marks.
 
-    The text is split at the closing tags; in each piece everything after the
-    first opening tag is the body.
+    The text is split right after every closing tag, so a piece holds at most
+    one block, at its end.  ``tag`` captures what ``before`` needs.
     """
-    pieces = F.split(c, rf"(?i)</{tag}>")
-    last = F.size(pieces) - 1
-    opening = rf"(?i)<{tag}[^>]*>"
-
-    def render(piece: Column, i: Column) -> Column:
-        at = F.regexp_instr(piece, F.lit(opening))
-        head = piece.substr(F.lit(1), at - 1)
-        tail = piece.substr(at, F.length(piece))
-        body = strip(F.regexp_replace(tail, r"<[^>]+>", ""))
-        done = F.concat(head, F.lit(before), body, F.lit(after))
-        return F.when(i == last, piece).when(at > 0, done).otherwise(
-            F.concat(piece, F.lit(f"</{tag}>")))
+    bare = tag.replace("(", "").replace(")", "")
+    pattern = rf"(?is)<{tag}[^>]*>(.*?)</{tag.replace('([1-6])', chr(92) + '1').replace('()', '')}>\z"
 
+    def render(piece: Column) -> Column:
+        body = strip(F.regexp_replace(F.regexp_extract(piece, pattern, 2), r"<[^>]+>", ""))
+        done = F.concat(F.regexp_replace(piece, pattern, ""),
+                        before(F.regexp_extract(piece, pattern, 1)), body, F.lit(after))
+        return F.when(piece.rlike(pattern), done).otherwise(piece)
+
+    pieces = F.split(c, rf"(?i)(?<=</{bare}>)")
     return F.array_join(F.transform(pieces, render), "")
 
 

@@ -169,13 +169,14 @@ def claims(answers: DataFrame, limit: int = 5, key: str = "item_key") -> DataFra
 VERDICTS = ("supports", "contradicts", "unclear", "absent")
 
 
-def verdicts(answers: DataFrame, key: str = "item_key", claim_count: str | None = None) -> DataFrame:
-    """Verdicts of judging answers: ``key, claim_no, verdict, evidence, page``.
+def verdicts(answers: DataFrame, keys: Sequence[str] = ("item_key",),
+             claim_count: str | None = None) -> DataFrame:
+    """Verdicts of judging answers: ``keys, claim_no, verdict, evidence, page``.
 
     Unknown verdicts count as unclear; claim numbers outside the list drop; of
     several verdicts on one claim the last one counts.
     """
-    keep = [key] + ([claim_count] if claim_count else [])
+    keep = [*keys] + ([claim_count] if claim_count else [])
     rows = answers.select(*keep, F.posexplode(json_items("answer")).alias("_at", "v")).select(
         *keep, "_at", (_number(F.col("v"), "claim") - 1).alias("claim_no"),
         _field(F.col("v"), "verdict", "string").alias("_verdict"),
@@ -185,9 +186,9 @@ def verdicts(answers: DataFrame, key: str = "item_key", claim_count: str | None
     if claim_count:
         rows = rows.where(F.col("claim_no") < F.col(claim_count))
     verdict = F.when(F.col("_verdict").isin(*VERDICTS), F.col("_verdict")).otherwise("unclear")
-    last = rows.withColumn("verdict", verdict).groupBy(key, "claim_no").agg(
+    last = rows.withColumn("verdict", verdict).groupBy(*keys, "claim_no").agg(
         F.max_by(F.struct("verdict", "evidence", "page"), "_at").alias("_c"))
-    return last.select(key, "claim_no", "_c.*")
+    return last.select(*keys, "claim_no", "_c.*")
 
 
 def passages(answers: DataFrame, key: str = "doc_id") -> DataFrame:

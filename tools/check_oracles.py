@@ -57,7 +57,7 @@ def compare(spark, con, name, folder):
         return f"ok {len(a)} rows (sql {sql_took:.1f}s){note}", took, True
     only_a = [r for r in a if r not in set(b)][:3] if len(a) < 20000 else []
     only_b = [r for r in b if r not in set(a)][:3] if len(b) < 20000 else []
-    return f"DIFF spark {len(a)} sql {len(b)}\n   spark {only_a}\n   sql   {only_b}{note}", took, False
+    return f"DIFF spark {len(a)} sql {len(b)}\n   spark {str(only_a)[:400]}\n   sql   {str(only_b)[:400]}{note}", took, False
 
 
 def main():
