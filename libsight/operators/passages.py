@@ -34,15 +34,16 @@ def pick(pages: DataFrame, fn: TextFn, per_page: int = 2, model: str = "") -> Da
     return payloads.passages(answers)
 
 
-def anchor(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+def anchor(quotes: DataFrame, pages: DataFrame, normalised: bool = False) -> DataFrame:
     """Place quotes (1-based ``page``) on pages (0-based ``page``).
 
     A quote found in the page's text becomes a highlight with its offset in the
     normalised text; otherwise it is kept as a note on the page.  Quotes on
-    pages the document lacks drop.  Both sides are normalised before the join.
+    pages the document lacks drop.  Both sides are normalised before the join;
+    ``normalised`` says the page texts already are.
     """
     asked = quotes.withColumns({"page": F.col("page") - 1, "_q": keys.quote_key("quote")})
-    texts = pages.select("doc_id", "page", keys.quote_key("text").alias("_t"))
+    texts = pages.select("doc_id", "page", (F.col("text") if normalised else keys.quote_key("text")).alias("_t"))
     joined = skew_join(asked, texts, ["doc_id", "page"])
     at = F.when(F.length("_q") >= MIN_QUOTE, F.instr(F.col("_t"), F.col("_q"))).otherwise(0)
     return joined.withColumn("_at", at).select(
@@ -81,7 +82,7 @@ def quote_rectangles(quotes: DataFrame, runs: DataFrame) -> DataFrame:
     size = F.length(keys.quote_key("str"))
     placed = runs.withColumns({
         "_start": F.coalesce(F.sum(size + 1).over(before), F.lit(0)), "_size": size})
-    anchored = anchor(quotes, page_text(runs)).where("kind = 'highlight'").withColumns({
+    anchored = anchor(quotes, page_text(runs), normalised=True).where("kind = 'highlight'").withColumns({
         "_from": F.col("offset"), "_to": F.col("offset") + F.length(keys.quote_key("quote"))})
     covered = anchored.select("quote_id", "doc_id", "page", "_from", "_to").join(
         placed, ["doc_id", "page"]).where(

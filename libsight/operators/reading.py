@@ -31,13 +31,15 @@ def credit_columns(now: dict[str, Column], prev: dict[str, Column],
 
 
 def credits(ticks: DataFrame, cap_seconds: float = TICK_CAP_SECONDS,
-            order: Sequence[str] = ("ts", "tick_id"), bucket_seconds: int = 3600) -> DataFrame:
+            order: Sequence[str] = ("ts", "tick_id"), bucket_seconds: int = 3600,
+            bucket: Column | None = None) -> DataFrame:
     """One row per tick that credits time or turns a page.
 
     Time goes to the page being left.  The look-back runs per reader and hour,
     so one very busy reader is spread over many tasks.
     """
-    bucket = F.floor(F.unix_seconds("ts") / bucket_seconds)
+    if bucket is None:
+        bucket = F.floor(F.unix_seconds("ts") / bucket_seconds)
     paired = ordered.lag_struct(ticks, ["reader_id"], order, bucket,
                                 ["focused", "attachment_key", "page", "ts"])
     names = ("focused", "attachment_key", "page", "ts")
@@ -70,14 +72,10 @@ def attachment_heat(credit_rows: DataFrame) -> DataFrame:
                  F.coalesce(F.max_by(known, at), F.lit(0)).alias("num_pages")))
 
 
-def rhythm(credit_rows: DataFrame, owners: DataFrame | None = None,
-           annotations: DataFrame | None = None, timezone: str = "UTC",
-           by: Sequence[str] = ()) -> DataFrame:
-    """Per local day: seconds, page turns, annotations added and papers touched.
-
-    ``owners`` (attachment_key, item_key) is needed only where the credit rows
-    lack ``item_key``; ``annotations`` needs ``ts`` and the ``by`` columns.
-    """
+def rhythm_by_item(credit_rows: DataFrame, owners: DataFrame | None = None,
+                   annotations: DataFrame | None = None, timezone: str = "UTC",
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Sums per (day, item): the part of the daily rhythm that adds up across batches."""
     rows = credit_rows
     if "item_key" not in rows.columns:
         rows = (ordered.skew_join(rows, owners, ["attachment_key"], "left") if owners is not None
@@ -85,21 +83,43 @@ def rhythm(credit_rows: DataFrame, owners: DataFrame | None = None,
     credited = F.col("credit_ms").isNotNull()
     reading = rows.select(
         *by, local_day("ts", timezone).alias("day"),
-        F.when(credited, F.floor((F.col("credit_ms") + 500) / 1000)).alias("s"),
-        F.col("turned").cast("long").alias("p"), F.lit(0).alias("a"),
-        F.when(credited, F.col("item_key")).alias("item"))
+        F.when(credited, F.floor((F.col("credit_ms") + 500) / 1000)).alias("seconds"),
+        F.col("turned").cast("long").alias("pages"), F.lit(0).alias("annotations"),
+        F.when(credited, F.col("item_key")).alias("item_key"))
     if annotations is not None:
+        zero = F.lit(0).cast("long")
         added = annotations.select(
-            *by, local_day("ts", timezone).alias("day"), F.lit(0).cast("long").alias("s"),
-            F.lit(0).cast("long").alias("p"), F.lit(1).alias("a"),
-            F.lit(None).cast(reading.schema["item"].dataType).alias("item"))
+            *by, local_day("ts", timezone).alias("day"), zero.alias("seconds"), zero.alias("pages"),
+            F.lit(1).alias("annotations"),
+            F.lit(None).cast(reading.schema["item_key"].dataType).alias("item_key"))
         reading = reading.unionByName(added)
-    # one row per (day, item) first, so the distinct count never gathers raw rows
-    per_item = reading.groupBy(*by, "day", "item").agg(
-        F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("a").alias("a"))
+    return reading.groupBy(*by, "day", "item_key").agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seconds", "pages", "annotations")])
+
+
+def rhythm_totals(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Daily rhythm from per-item sums; a paper counts once a day."""
+    per_item = parts.groupBy(*by, "day", "item_key").agg(*[
+        F.sum(c).alias(c) for c in ("seconds", "pages", "annotations")])
     return per_item.groupBy(*by, "day").agg(
-        F.coalesce(F.sum("s"), F.lit(0)).alias("seconds"), F.sum("p").alias("pages"),
-        F.sum("a").alias("annotations"), F.count("item").alias("items"))
+        *[F.sum(c).alias(c) for c in ("seconds", "pages", "annotations")],
+        F.count("item_key").alias("items"))
+
+
+def rhythm(credit_rows: DataFrame, owners: DataFrame | None = None,
+           annotations: DataFrame | None = None, timezone: str = "UTC",
+           by: Sequence[str] = ()) -> DataFrame:
+    """Per local day: seconds, page turns, annotations added and papers touched.
+
+    ``owners`` (attachment_key, item_key) is needed only where the credit rows
+    lack ``item_key``; ``annotations`` needs ``ts`` and the ``by`` columns.
+    Rows are reduced per (day, item) first, so the distinct count never gathers
+    raw rows.
+    """
+    parts = rhythm_by_item(credit_rows, owners, annotations, timezone, by)
+    return parts.groupBy(*by, "day").agg(
+        *[F.sum(c).alias(c) for c in ("seconds", "pages", "annotations")],
+        F.count("item_key").alias("items"))
 
 
 def item_pages(pages: DataFrame, owners: DataFrame) -> DataFrame:

@@ -45,11 +45,12 @@ def _groups(values: Sequence, size: int) -> Iterator[Sequence]:
 # --- model map
 
 def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id: str = "",
-              batch: int = 1, tasks: int | None = None) -> DataFrame:
+              batch: int = 1, tasks: int | None = None, keep: bool = True) -> DataFrame:
     """One answer per row; a failing row carries its error instead of failing the job.
 
     Adds ``answer, error, model, prompt_id, answered_at``.  ``tasks`` sets how
-    many calls run at once.  A failing batch is retried row by row.
+    many calls run at once.  A failing batch is retried row by row.  ``keep``
+    checkpoints the answers, so that later steps do not call the model again.
     """
     rows = df.repartition(tasks) if tasks else df
     out = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()),
@@ -77,7 +78,8 @@ def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id
             done = [pair for group in _groups(frame[prompt].tolist(), batch) for pair in ask(group)]
             yield frame.assign(answer=[a for a, _ in done], error=[e for _, e in done])
 
-    return rows.mapInPandas(run, out).withColumns({
+    done = rows.mapInPandas(run, out)
+    return (cut_lineage(done) if keep else done).withColumns({
         "model": F.lit(model), "prompt_id": F.lit(prompt_id), "answered_at": F.current_timestamp()})
 
 
@@ -90,8 +92,8 @@ def landed(df: DataFrame, path: str) -> DataFrame:
 # --- embedding map
 
 def embed(chunks: DataFrame, fn: Callable[[list[str]], list[list[float]]],
-          batch: int = EMBED_BATCH, tolerant: bool = True) -> DataFrame:
-    """Adds ``embedding``; batches of ``batch`` texts, order kept.
+          batch: int = EMBED_BATCH, tolerant: bool = True, keep: bool = True) -> DataFrame:
+    """Adds ``embedding``; batches of ``batch`` texts, order kept, vectors checkpointed.
 
     A batch that fails or returns another number of vectors leaves its rows
     without vectors when ``tolerant``, else fails the job.
@@ -115,7 +117,8 @@ def embed(chunks: DataFrame, fn: Callable[[list[str]], list[list[float]]],
             yield frame.assign(embedding=[
                 v for group in _groups(frame["text"].tolist(), batch) for v in vectors_of(group)])
 
-    return chunks.mapInPandas(run, out)
+    done = chunks.mapInPandas(run, out)
+    return cut_lineage(done) if keep else done
 
 
 # --- cached engine chain

@@ -1,4 +1,4 @@
 """Named queries over the input tables, with SQL oracles where SQL can state them."""
 
-from libsight.plans import reading, library, retrieval, texts, ingest  # noqa: F401
+from libsight.plans import reading, library, retrieval, texts, ingest, layouts  # noqa: F401
 from libsight.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -10,7 +10,6 @@ from libsight.operators import claims, context, passages, prompts, search, trans
 from libsight.plans.library import HITS, RULES, _annotations
 from libsight.plans.registry import Tables, query
 from libsight.plans.retrieval import _documents_as_items
-from libsight.session import cut_lineage
 from libsight.sources import digests, payloads
 
 
@@ -229,7 +228,7 @@ def cached_translate(t: Tables) -> DataFrame:
 
 @query("""SELECT item_key, replace(title, 'e', 'E') AS title_translated, replace(body, 'e', 'E') AS abstract_translated,
 extra || chr(10) || 'lib-title: ' || replace(title, 'e', 'E') AS extra,
-'<p>' || body || '</p>' || chr(10) || chr(10) || '【translated】' || replace(body, 'e', 'E') AS abstract
+'<p>' || body || '</p>' || CASE WHEN contains(body, 'e') THEN chr(10) || chr(10) || '【translated】' || replace(body, 'e', 'E') ELSE '' END AS abstract
 FROM (SELECT *, 'on ' || venue AS body FROM items) i""")
 def metadata_translate(t: Tables) -> DataFrame:
     items = t.items.withColumn("abstract", F.concat(F.lit("<p>on "), "venue", F.lit("</p>")))
@@ -296,8 +295,7 @@ def _judge_model(texts: list[str]) -> list[str]:
 
 def _claims(t: Tables) -> DataFrame:
     papers = t.benchmark.select(F.col("item_id").alias("item_key"), F.col("text").alias("context"))
-    # answers are kept, so that the two uses below do not ask the model twice
-    return cut_lineage(claims.extract(papers, _claim_model, limit=1))
+    return claims.extract(papers, _claim_model, limit=1)
 
 
 def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
@@ -307,7 +305,7 @@ def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
     evidence = claims.evidence_text(hits.withColumn("page", F.lit(0)))
     pairs = evidence.join(found, "query_id").select(
         F.col("query_id").alias("claim_id"), "item_key", F.col("query").alias("claim"), "evidence")
-    return cut_lineage(claims.judge(pairs, _judge_model))
+    return claims.judge(pairs, _judge_model)
 
 
 @query("""SELECT item_id || ':0' AS claim_id, item_id AS item_key, array_to_string(list_filter(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from libsight.session import ship
 from libsight.sources.fixtures import table, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,7 @@ class Tables:
     """Lazy access to input tables: ``t.ticks`` reads the view ``ticks``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = ship(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,7 @@ def build(app: str = "libsight", master: str | None = None, **conf: str) -> Spar
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -56,3 +58,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Functions that run in tasks are pickled by reference, so the workers must be
+    able to import the package.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_libsight_shipped", False):
+        root = Path(__file__).resolve().parent
+        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        context.addPyFile(shutil.make_archive(f"{base}/libsight", "zip", root.parent, root.name))
+        context._libsight_shipped = True
+    return spark
