@@ -41,22 +41,23 @@ def _clock(cap_ms: int, idle_ms: int):
             credited_page=before["page"].astype("float64").astype("Int64"))
         last = now.iloc[-1]
         group.update((int(last.attachment_key), int(last.page), int(last.since_ms), bool(last.focused)))
-        group.setTimeoutDuration(idle_ms)
+        group.setTimeoutTimestamp(int(last.since_ms) + idle_ms)
         yield out.loc[credited | out["turned"], [f.split()[0] for f in CREDITS.split(", ")]]
     return step
 
 
 def stateful_credits(ticks: DataFrame, cap_seconds: float = reading.TICK_CAP_SECONDS,
-                     idle_hours: float = 24) -> DataFrame:
+                     idle_hours: float = 24, late: str = "1 day") -> DataFrame:
     """Credits as a stream, one clock per reader.
 
     A reader's ticks of one micro-batch meet in one task, so the source must be
     rate-limited; use :func:`credit_batches` for backfills and skewed readers.
-    Idle readers' state expires.
+    Ticks behind the watermark are dropped; the state of readers idle for
+    ``idle_hours`` of event time expires.
     """
     step = _clock(int(cap_seconds * 1000), int(idle_hours * 3_600_000))
-    return ticks.groupBy("reader_id").applyInPandasWithState(
-        step, CREDITS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ticks.withWatermark("ts", late).groupBy("reader_id").applyInPandasWithState(
+        step, CREDITS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- per-batch state, spread like the batch form

@@ -48,7 +48,7 @@ def credits_of(df):
 
 
 def test_clock_equals_the_event_loop(spark):
-    for seed in range(3):
+    for seed in range(2):
         rows = random_ticks(seed)
         got = reading.credits(spark.createDataFrame(rows, SCHEMA))
         assert credits_of(got) == model(rows)
@@ -84,7 +84,7 @@ def _stream(spark, rows, folder, parts):
 
 def test_batches_with_carried_ticks_equal_the_batch_form(spark, folder):
     rows = random_ticks(11)
-    stream = _stream(spark, rows, folder, 4)
+    stream = _stream(spark, rows, folder, 2)
     run = clock.credit_batches(f"{folder}/out", f"{folder}/state")
     state.writer(stream, run, f"{folder}/ckpt").start().awaitTermination()
     assert credits_of(spark.read.parquet(f"{folder}/out")) == model(rows)
@@ -92,7 +92,7 @@ def test_batches_with_carried_ticks_equal_the_batch_form(spark, folder):
 
 def test_stateful_clock_equals_the_batch_form(spark, folder):
     rows = random_ticks(12)
-    stream = _stream(spark, rows, folder, 3)
+    stream = _stream(spark, rows, folder, 2)
     query = (clock.stateful_credits(stream).writeStream.format("parquet")
              .option("checkpointLocation", f"{folder}/ckpt").option("path", f"{folder}/out")
              .trigger(availableNow=True).start())
@@ -103,7 +103,7 @@ def test_stateful_clock_equals_the_batch_form(spark, folder):
 def test_daily_batches_add_up(spark, folder):
     rows = random_ticks(13)
     credits = reading.credits(spark.createDataFrame(rows, SCHEMA))
-    credits.repartition(3).write.parquet(f"{folder}/credits")
+    credits.repartition(2).write.parquet(f"{folder}/credits")
     stream = (spark.readStream.schema(spark.read.parquet(f"{folder}/credits").schema)
               .option("maxFilesPerTrigger", 1).parquet(f"{folder}/credits"))
     state.writer(stream, clock.daily_batches(f"{folder}/daily"), f"{folder}/c").start().awaitTermination()
