@@ -71,6 +71,14 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return kept if position else kept.drop(name)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast hint for a table counted to have at most ``rows`` rows, else no hint.
+
+    The count stops at the limit, so it stays cheap whatever the table's size.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
               hot_rows: int = 5_000_000, splits: int = 64) -> DataFrame:
     """Equi-join whose hot keys in ``big`` are spread over ``splits`` tasks each.

@@ -205,6 +205,14 @@ def lex_tokens(c: Column | str) -> Column:
     return F.concat(words, bigrams)
 
 
+def lex_count(c: Column | str) -> Column:
+    """Number of index tokens, without building them."""
+    text = F.coalesce(col(c), F.lit(""))
+    # a Han run of n characters has n - 1 bigrams: one per character with a Han successor
+    return (F.regexp_count(F.lower(text), F.lit("[a-z0-9]{2,}"))
+            + F.regexp_count(text, F.lit(f"[{HAN}](?=[{HAN}])")))
+
+
 def normalise_text(c: Column | str) -> Column:
     """Ligatures spelled out, soft hyphens dropped, the Unicode hyphen made plain."""
     out = col(c)

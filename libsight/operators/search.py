@@ -11,10 +11,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from libsight.functions import text as tx, vectors
-from libsight.functions.ordered import top_per_group
+from libsight.functions.ordered import broadcast_if_small, top_per_group
 from libsight.functions.substring import contains_join
 
 K1 = 1.4
@@ -131,11 +131,16 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Token counts per chunk; a ``vocabulary`` (token) prunes before the shuffle."""
+    """Token counts per chunk; a ``vocabulary`` (token) prunes before the shuffle.
+
+    Rows are placed by chunk, so what a search groups by chunk afterwards needs
+    no further shuffle.
+    """
     words = tokenised(chunks).select("chunk_id", "item_key", "length",
                                      F.explode("tokens").alias("token"))
     if vocabulary is not None:
-        words = words.join(vocabulary.select("token"), "token", "left_semi")
+        words = words.join(vocabulary, "token", "left_semi")
+    words = words.repartition("chunk_id")
     return words.groupBy("token", "chunk_id", "item_key", "length").agg(
         F.count("*").alias("tf"))
 
@@ -154,7 +159,7 @@ def token_bucket(token: str, buckets: int = 256):
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and mean token count."""
-    lengths = tokenised(chunks)
+    lengths = chunks.select(tx.lex_count("text").alias("length"))
     return lengths.agg(F.count("*").alias("n"),
                        F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
 
@@ -171,18 +176,24 @@ def query_tokens(queries: DataFrame) -> DataFrame:
         F.array_distinct(tx.lex_tokens("query"))).alias("token"))
 
 
-def bm25(queries: DataFrame, posting_rows: DataFrame, stats: DataFrame,
-         pool: DataFrame | None = None, normalise_by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """BM25 per (query, chunk), divided by the best score of the pool.
+def raw_bm25(queries: DataFrame, posting_rows: DataFrame, stats: DataFrame,
+             pool: DataFrame | None = None, by_chunk: bool = False) -> DataFrame:
+    """BM25 ``score`` per (query, chunk).
 
     Frequencies are corpus-wide even when ``pool`` (item_key) narrows the
-    search.  Term weights are computed once per posting, not per query; the best
-    score is an aggregate joined back, since a window would gather all chunks of
-    a query in one task.
+    search.  Term weights are computed once per posting, not per query.  With a
+    query set counted to be small, its tokens and their weights are broadcast
+    and each chunk is scored where its postings lie; a larger one is joined by
+    token.  ``by_chunk`` says the postings are already placed by chunk.
     """
     wanted = query_tokens(queries)
-    hits = posting_rows.join(wanted.select("token").distinct(), "token", "left_semi")
+    sized = broadcast_if_small(wanted)
+    hint = F.broadcast if sized is not wanted else (lambda df: df)
+    hits = posting_rows.join(hint(wanted.select("token").distinct()), "token", "left_semi")
+    if not by_chunk:
+        hits = hits.repartition("chunk_id")
     df = document_frequency(hits).withColumn("_one", F.lit(1))
+    # the corpus figures are one row
     weights = (df.join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").select(
         "token", "avg_length",
         F.log(1 + (F.greatest(F.lit(1), F.col("n")) - F.col("df") + 0.5)
@@ -190,20 +201,45 @@ def bm25(queries: DataFrame, posting_rows: DataFrame, stats: DataFrame,
     if pool is not None:
         hits = hits.join(pool.select("item_key").distinct(), "item_key", "left_semi")
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    weighted = hits.join(weights, "token").select(
+    weighted = hits.join(hint(weights), "token").select(
         "token", "chunk_id", "item_key",
         (F.col("idf") * (F.col("tf") * (K1 + 1)) / saturation).alias("w"))
-    scores = (weighted.join(wanted, "token").groupBy("query_id", "chunk_id", "item_key")
-              .agg(F.sum("w").alias("score")).where("score > 0"))
-    best = scores.groupBy(*normalise_by).agg(F.max("score").alias("_best"))
-    return scores.join(best, list(normalise_by)).select(
+    return (weighted.join(sized, "token").groupBy("query_id", "chunk_id", "item_key")
+            .agg(F.sum("w").alias("score")).where("score > 0"))
+
+
+def normalised(scores: DataFrame) -> DataFrame:
+    """Scores as ``lexical``, divided by the best score of their query.
+
+    The best score is an aggregate joined back, since a window would gather all
+    chunks of a query in one task.
+    """
+    best = scores.groupBy("query_id").agg(F.max("score").alias("_best"))
+    return scores.join(best, "query_id").select(
         "query_id", "chunk_id", "item_key", (F.col("score") / F.col("_best")).alias("lexical"))
 
 
+def bm25(queries: DataFrame, posting_rows: DataFrame, stats: DataFrame,
+         pool: DataFrame | None = None, by_chunk: bool = False) -> DataFrame:
+    """BM25 per (query, chunk) as a share of the pool's best score."""
+    return normalised(raw_bm25(queries, posting_rows, stats, pool, by_chunk))
+
+
+def _raw_scores(queries: DataFrame, chunks: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    vocabulary = broadcast_if_small(query_tokens(queries).select("token").distinct())
+    return raw_bm25(queries, postings(chunks, vocabulary), corpus_stats(chunks), pool, by_chunk=True)
+
+
 def lexical_scores(queries: DataFrame, chunks: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """BM25 straight from the chunks; only the queries' own tokens are shuffled."""
-    vocabulary = query_tokens(queries).select("token").distinct()
-    return bm25(queries, postings(chunks, vocabulary), corpus_stats(chunks), pool)
+    """BM25 shares straight from the chunks; only the queries' own tokens are shuffled."""
+    return normalised(_raw_scores(queries, chunks, pool))
+
+
+def _share_of_best(top: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores of a few top rows per key as shares of the best one, the negligible dropped."""
+    best = F.max("score").over(Window.partitionBy(*keys))
+    share = top.withColumn("score", F.col("score") / best)
+    return share.where(F.col("score") > MIN_SCORE).withColumn("lexical", F.col("score"))
 
 
 def diverse_top(scored: DataFrame, k: int = TOP_K, per_item: int = PER_ITEM) -> DataFrame:
@@ -215,9 +251,12 @@ def diverse_top(scored: DataFrame, k: int = TOP_K, per_item: int = PER_ITEM) ->
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
                    pool: DataFrame | None = None) -> DataFrame:
-    """Search without vectors: the lexical score alone."""
-    scored = lexical_scores(queries, chunks, pool).withColumn("score", F.col("lexical"))
-    return diverse_top(scored.where(F.col("score") > MIN_SCORE), k)
+    """Search without vectors: the lexical score alone.
+
+    The best score of a query is that of its first hit, so the share is taken
+    after the selection.
+    """
+    return _share_of_best(diverse_top(_raw_scores(queries, chunks, pool), k), ["query_id"])
 
 
 def _cosines(matrix: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -356,8 +395,6 @@ def evidence(queries: DataFrame, chunks: DataFrame, per_item: int = 3) -> DataFr
     Pairs come from shared tokens; an item without any has no evidence and needs
     no row.
     """
-    vocabulary = query_tokens(queries).select("token").distinct()
-    scored = bm25(queries, postings(chunks, vocabulary), corpus_stats(chunks),
-                  normalise_by=("query_id", "item_key")).withColumn("score", F.col("lexical"))
-    return top_per_group(scored.where(F.col("score") > MIN_SCORE), ["query_id", "item_key"],
-                         [F.col("score").desc(), F.col("chunk_id")], per_item, "position")
+    top = top_per_group(_raw_scores(queries, chunks), ["query_id", "item_key"],
+                        [F.col("score").desc(), F.col("chunk_id")], per_item, "position")
+    return _share_of_best(top, ["query_id", "item_key"])

@@ -96,11 +96,27 @@ def with_views(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
 
+#: Tables of long texts, whose rows cost much more to process than to read.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Scan of fewer splits than cores spread over all cores; larger scans stay as they are.
+
+    A small file of one row group would otherwise be tokenised by one task.
+    ``df`` must be a plain scan, since its partitions are counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A base table, or a view over the base tables, in ``folder``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if name in BASE:
         df = spark.read.parquet(f"{folder}/{name}.parquet")
+        if name in TEXT_KEYS:
+            df = spread(df, TEXT_KEYS[name])
         naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: df[c].cast("timestamp") for c in naive}) if naive else df
     query = with_views(f"SELECT * FROM {name}")
