@@ -12,7 +12,7 @@ _CHUNK = ("struct<id:string,itemID:bigint,itemKey:string,attachmentID:bigint,tit
           "page:int,text:string,v:string,s:double>")
 _REF = "struct<title:string,doi:string,year:int,authors:string,citations:bigint,s2:string>"
 _SHAPES = {
-    "reading": "map<string,struct<pages:map<int,struct<t:double,a:int>>,total:double,first:bigint,"
+    "reading": "map<string,struct<pages:map<string,struct<t:double,a:int>>,total:double,first:bigint,"
                "last:bigint,numPages:int>>",
     "rhythm": "map<string,struct<seconds:bigint,pages:bigint,annotations:bigint,items:array<string>>>",
     "review": "map<string,struct<key:string,attachmentID:bigint,itemID:bigint,due:bigint,step:int,"
@@ -82,7 +82,7 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def page_heat(reading: DataFrame) -> DataFrame:
     """Long form of a reading snapshot: tenths of a second per page."""
     return reading.select("library_id", "attachment_key", F.explode("pages").alias("page", "v")).select(
-        "library_id", "attachment_key", "page", F.floor(F.col("v.t") * 10 + 0.5).alias("deciseconds"))
+        "library_id", "attachment_key", F.col("page").cast("int").alias("page"), F.floor(F.col("v.t") * 10 + 0.5).alias("deciseconds"))
 
 
 TICKS = ("tick_id bigint, reader_id bigint, attachment_key bigint, item_key bigint, page int, "
