@@ -30,20 +30,30 @@ def unowned_refs(refs: DataFrame, owned: DataFrame, unicode_titles: bool = False
     return _minus_owned(_keyed(refs, unicode_titles), owned, unicode_titles).drop("_doi", "_title")
 
 
+def _with_gap_key(refs: DataFrame, unicode_titles: bool) -> DataFrame:
+    keyed = _keyed(refs, unicode_titles).withColumn("gap_key", F.coalesce("_doi", "_title"))
+    return keyed.where("gap_key is not null")
+
+
 def gaps(refs: DataFrame, owned: DataFrame, min_hits: int = 3, distinct_citing: bool = False,
          unicode_titles: bool = False) -> DataFrame:
     """Works cited but not owned: ``gap_key, title, doi, citations, hits``.
 
-    References are tallied per work before anything is joined, so a work cited
-    by a third of the corpus reaches the anti-joins as a few rows.  First-seen
+    References are tallied by their raw DOI and title before keys are derived or
+    anything is joined, so a work cited by a third of the corpus becomes one row
+    per input task at once, and the expressions run once per work.  First-seen
     attributes are those of the lowest citing key.
     """
-    keyed = _keyed(refs, unicode_titles).withColumn("gap_key", F.coalesce("_doi", "_title"))
-    keyed = keyed.where("gap_key is not null")
+    rows = refs
     if distinct_citing:
-        keyed = keyed.dropDuplicates(["gap_key", "citing_key"])
-    first = F.min(F.struct("citing_key", "title", "doi", "citations")).alias("_first")
-    tally = keyed.groupBy("gap_key", "_doi", "_title").agg(F.count("*").alias("hits"), first)
+        rows = _with_gap_key(refs, unicode_titles).dropDuplicates(["gap_key", "citing_key"])
+    works = rows.groupBy("doi", "title").agg(
+        F.count("*").alias("hits"), F.min("citing_key").alias("_citing"),
+        F.min_by("citations", "citing_key").alias("citations"))
+    keyed = _with_gap_key(works, unicode_titles)
+    tally = keyed.groupBy("gap_key", "_doi", "_title").agg(
+        F.sum("hits").alias("hits"),
+        F.min(F.struct("_citing", "title", "doi", "citations")).alias("_first"))
     missing = _minus_owned(tally, owned, unicode_titles)
     merged = missing.groupBy("gap_key").agg(
         F.sum("hits").alias("hits"), F.min("_first").alias("_first"))
@@ -54,13 +64,19 @@ def gaps(refs: DataFrame, owned: DataFrame, min_hits: int = 3, distinct_citing:
 
 def cited_by(refs: DataFrame, gap_table: DataFrame, owned: DataFrame | None = None,
              most: int = 8, unicode_titles: bool = False) -> DataFrame:
-    """First ``most`` citing works per gap, as rows ``gap_key, position, citing_key``."""
-    keyed = _keyed(refs, unicode_titles).withColumn("gap_key", F.coalesce("_doi", "_title"))
+    """First ``most`` citing works per gap, as rows ``gap_key, position, citing_key``.
+
+    The first of every raw work are taken before keys are derived, so nothing
+    larger than ``most`` rows per work is joined.
+    """
+    first = top_per_group(refs.select("doi", "title", "citing_key"), ["doi", "title"],
+                          [F.col("citing_key")], most)
+    keyed = _with_gap_key(first, unicode_titles)
     if owned is not None:
         keyed = _minus_owned(keyed, owned, unicode_titles)
-    first = top_per_group(keyed.select("gap_key", "citing_key"), ["gap_key"],
-                          [F.col("citing_key")], most, "position")
-    return first.join(gap_table.select("gap_key"), "gap_key", "left_semi")
+    wanted = keyed.join(gap_table.select("gap_key"), "gap_key", "left_semi")
+    return top_per_group(wanted.select("gap_key", "citing_key"), ["gap_key"],
+                         [F.col("citing_key")], most, "position")
 
 
 def rank_gaps(gap_table: DataFrame, most: int = 40) -> DataFrame:
@@ -75,12 +91,13 @@ def citation_edges(refs: DataFrame, owned: DataFrame) -> DataFrame:
     """
     owners = (owned.select(F.lower(canonical_doi("doi")).alias("_doi"), "item_key")
               .where("_doi is not null").groupBy("_doi").agg(F.max("item_key").alias("target")))
-    cited = (refs.select(F.col("citing_key").alias("source"),
-                         F.lower(canonical_doi("doi")).alias("_doi"))
-             .where("_doi is not null").distinct())
-    return (cited.join(owners, "_doi").where("source <> target")
-            .select("source", "target", F.lit("cite").alias("kind"), F.lit(2.0).alias("weight"))
-            .distinct())
+    # each spelling of a DOI is brought into canonical form once
+    known = (refs.where("doi is not null").select("doi").distinct()
+             .withColumn("_doi", F.lower(canonical_doi("doi"))).join(owners, "_doi")
+             .select("doi", "target"))
+    cited = refs.select(F.col("citing_key").alias("source"), "doi").join(known, "doi")
+    return (cited.where("source <> target").select("source", "target").distinct()
+            .select("source", "target", F.lit("cite").alias("kind"), F.lit(2.0).alias("weight")))
 
 
 def stale(items: DataFrame, fetched: DataFrame, now: str, days: int = 30) -> DataFrame:
