@@ -364,7 +364,8 @@ def matrix_digest(t: Tables) -> DataFrame:
     return digests.annotation_matrix(named, [r.name for r in RULES])
 
 
-@query()
+@query("""SELECT source AS watch_id, '## ' || upper(source) || chr(10) || chr(10) || string_agg('- [' || lang || '](http://x) — A (2024) · feed', chr(10) ORDER BY rn) AS section
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) d WHERE rn <= 25 GROUP BY source""")
 def watch_digest(t: Tables) -> DataFrame:
     fresh = t.documents.select(
         F.col("source").alias("watch_id"), F.col("doc_id").alias("finding_id"), F.col("lang").alias("title"),
@@ -373,7 +374,11 @@ def watch_digest(t: Tables) -> DataFrame:
     return digests.watch_digest(fresh, watches)
 
 
-@query()
+@query("""SELECT item_key, '## ' || title || chr(10) || chr(10) || '*Anon. n.d.*' || chr(10) || chr(10) || 'See ([p. 3](lib/open?page=3)). ' || venue
+|| coalesce(chr(10) || chr(10) || '### My highlights' || chr(10) || chr(10) || marks, '') AS section
+FROM items LEFT JOIN (SELECT item_key, string_agg('- p. ' || (page + 1) || ' "' || text || '"', chr(10) ORDER BY rn) AS marks FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY page, annotation_key) AS rn FROM annotations) r
+  WHERE rn <= 40 GROUP BY item_key) m USING (item_key)""")
 def paper_digest(t: Tables) -> DataFrame:
     papers = t.items.select("item_key", "title", F.lit("Anon. n.d.").alias("citation"),
                             F.concat(F.lit("See (p. 3). "), "venue").alias("digest"))
