@@ -10,6 +10,7 @@ from libsight.operators import claims, context, passages, prompts, search, trans
 from libsight.plans.library import HITS, RULES, _annotations
 from libsight.plans.registry import Tables, query
 from libsight.plans.retrieval import _documents_as_items
+from libsight.plans.texts import SENTENCES
 from libsight.sources import digests, payloads
 
 
@@ -240,7 +241,12 @@ def metadata_translate(t: Tables) -> DataFrame:
                        transform.append_abstract("abstract", "abstract_translated").alias("abstract"))
 
 
-@query()
+@query(f"""SELECT doc_id, CAST(page AS INT) AS page, CAST(pair_no AS INT) AS pair_no, original, replace(original, 'e', 'E') AS translated
+FROM (SELECT doc_id, page, unnest(range(len(p))) AS pair_no, unnest(p) AS original FROM (
+  SELECT doc_id, page, CASE WHEN len(s) >= 2 THEN s ELSE [text] END AS p FROM (
+    SELECT doc_id, page, text, {SENTENCES} AS s FROM (
+      SELECT doc_id, unnest(range(len(l))) AS page, unnest(l) AS text FROM (
+        SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b WHERE trim(text) <> '') c) d) e""")
 def bilingual_pairs(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     done = transform.translate(lines, [transform.Engine("shout", _shout)], "shout", "en")
