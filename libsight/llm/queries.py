@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from libsight.llm import chat, mixing, packing, tokens
+from libsight.llm import chat, classifier, mixing, packing, rules, tokens
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 @_query
 def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, folder, "documents"), vocabulary())
+
+
+@_query
+def op9_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
