@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from libsight.llm import chat, classifier, mixing, packing, rules, tokens
+from libsight.llm import chat, classifier, fingerprint, mixing, packing, rules, tokens
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op9_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.probe_edits(_table(spark, folder, "documents"))
