@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from libsight.llm import chat, classifier, fingerprint, mixing, packing, rules, tokens
+from libsight.llm import chat, classifier, fingerprint, jaccard, mixing, packing, rules, tokens
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op6_rules(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.probe_edits(_table(spark, folder, "documents"))
+
+
+@_query
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_similar(_table(spark, folder, "documents"))
