@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from libsight.llm import chat, classifier, fingerprint, jaccard, mixing, packing, rules, tokens
+from libsight.llm import (
+    chat, classifier, fingerprint, jaccard, mixing, packing, rules, substrings, tokens)
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,8 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join_similar(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, folder, "documents"))
