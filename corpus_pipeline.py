@@ -5,24 +5,110 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from libsight.session import checkpoint_dir, ship
+from libsight.llm import classifier, jaccard, mixing, packing, substrings
+from libsight.llm.texts import n_words
+from libsight.session import checkpoint_dir, cut_lineage, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Rows of a list of ids that is broadcast to the texts; longer lists are joined by shuffle.
+BROADCAST_ROWS = 400_000
 
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed; with a broadcast hint if it was counted to be small."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns in one, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+
+
+def _unwrapped(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c)
+                       for c in like.columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, takes for good ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = classifier.score(_wrapped(docs), classifier.fit(docs, labels), ("doc_id", "text", "rest"))
+    return _unwrapped(scored.where("predicted = 1"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every group of near copies.
+
+    Rows without an id stay.  Of rows that share an id, the one whose text has the least hash
+    stays.
+    """
+    groups = jaccard.join_similar(docs)
+    drop = _small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        kept = kept.withColumn("_one", one).where("_one = 1 or doc_id is null").drop("_one")
+    return kept
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur elsewhere; ``n_chars`` follows the text."""
+    cut = substrings.remove_repeats(_wrapped(docs), with_text=True, others=("doc_id", "rest"))
+    out = _unwrapped(cut.withColumnRenamed("kept_text", "text"), docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it."""
+    copies = _small(mixing.mix(docs).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.col("copies").alias("_copies")))
+    sized = docs.withColumn("_words", n_words())
+    joined = sized.join(copies, sized["doc_id"].eqNullSafe(copies["_id"])
+                        & sized["source"].eqNullSafe(copies["_source"])
+                        & (sized["_words"] == copies["_size"]))
+    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training rows."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("source_mixing", target_mix),
+    ("best_fit_packing", packed),
+]
+
+#: A learned model and random rounding have no SQL form; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each on the Parquet that its predecessor wrote."""
+    """Apply the stages to ``documents``, each on the Parquet that its predecessor wrote.
+
+    A stage's files are removed once the next stage is written; the last one's stay.
+    """
     ship(spark)
     base = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return docs

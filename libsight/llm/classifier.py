@@ -181,13 +181,11 @@ def score(documents: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("d
     """``keep`` columns with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Null texts score as empty ones.  Rows are scored one by one from their whole text, with no
-    shuffle; repeated rows score alike; an empty table gives no rows.  A kept column may not be
-    named like an added one.
+    shuffle; repeated rows score alike; an empty table gives no rows.  A kept column named like
+    an added one is dropped.
     """
     ship(documents.sparkSession)
-    clash = {"score", "predicted"} & set(keep)
-    if clash:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
+    keep = tuple(c for c in keep if c not in ("score", "predicted"))
     bits = int(np.log2(len(weights)))
     slim = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]

@@ -74,11 +74,11 @@ def fingerprint(text: str) -> np.ndarray:
 def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``fingerprint`` (hex) of every whole text; a null is empty.  No shuffle.
 
-    Equal texts have equal fingerprints; an empty text's slots are all empty.
+    Equal texts have equal fingerprints; an empty text's slots are all empty.  A kept column
+    named like the result is dropped.
     """
     ship(documents.sparkSession)
-    if "fingerprint" in keep:
-        raise ValueError("a kept column is named like the result")
+    keep = tuple(c for c in keep if c != "fingerprint")
     slim = documents.select(*[F.col(f"`{c}`") for c in keep], text_of().alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
                        + ["fingerprint string"])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from libsight.llm import (
-    chat, classifier, fingerprint, jaccard, mixing, packing, rules, substrings, tokens)
+    chat, classifier, fingerprint, jaccard, mixing, packing, pages, rules, substrings,
+    tokens)
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,8 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, folder, "documents"))
+
+
+@_query
+def op5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(_table(spark, folder, "pages"))

@@ -43,12 +43,11 @@ def statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     """``keep`` columns, the counts ``BASE`` and the shares ``TESTED`` of every whole text.
 
     Null or empty texts have no words: all counts 0, shares 0.  Rows are measured one by one,
-    so ties and repeated rows need no rule; other columns are dropped, and kept columns may
-    not be named like a statistic.  No shuffle, no Python.
+    so ties and repeated rows need no rule; other columns are dropped, and so is a kept column
+    named like a statistic.  No shuffle, no Python.
     """
-    made = {*BASE, *TESTED, "_text", "_words", "_lines", "_hashes"}
-    if clash := made & set(keep):
-        raise ValueError(f"kept columns clash with statistics: {sorted(clash)}")
+    made = {*BASE, *TESTED, "_text", "_words", "_lines", "_hashes", "_spots"}
+    keep = tuple(c for c in keep if c not in made)
     df = documents.select(*[F.col(f"`{c}`") for c in keep], text_of().alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", GAP), ""))
     df = df.withColumn("n_words", F.size("_words").cast("bigint"))
@@ -211,6 +210,7 @@ def judge(documents: DataFrame, labels: DataFrame, label: str = "quality",
     names are not learned from).  ``keep`` must hold ``doc_id``.  Statistics are computed once
     and checkpointed; only they meet the labels.
     """
+    keep = tuple(c for c in keep if c not in (*BASE, *TESTED, "base_failed", "kept"))
     stats = cut_lineage(statistics(documents, keep))
     known = (labels.select(F.col("doc_id").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label"))
              .where("_id is not null and _label is not null").where(~held_out(F.col("_id")))

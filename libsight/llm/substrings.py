@@ -52,7 +52,8 @@ def stretches(block: Block, length: int, seed: int) -> tuple[np.ndarray, ...]:
 def _keyed(documents: DataFrame, others: list[str]) -> DataFrame:
     """Rows with ``key``: equal for rows of equal id and text only."""
     return documents.select(
-        *others, F.xxhash64(F.isnull("doc_id"), "doc_id", "text").alias("key"), "text")
+        *[F.col(f"`{c}`") for c in others],
+        F.xxhash64(F.isnull("doc_id"), "doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
 
 
 def _places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
@@ -143,7 +144,7 @@ def _cut(texts: DataFrame, others: list[str], length: int, with_text: bool) -> D
                      pa.array(removed.astype(np.int64)), pa.array(repeats.astype(np.int64)),
                      pa.array(last, pa.string())], names=names)
 
-    return texts.select(*others, "text", "found").mapInArrow(run, schema)
+    return texts.select(*[F.col(f"`{c}`") for c in others], "text", "found").mapInArrow(run, schema)
 
 
 def _digests(block: Block, gone: np.ndarray) -> list[str]:
@@ -220,16 +221,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_
     joined by one space) or, with ``with_text``, ``kept_text``, in which white space before kept
     words stays and untouched texts are unchanged.  Null texts have no words.  Repeated rows
     repeat each other's windows.  ``documents`` needs ``doc_id`` and ``text``; ids may be null or
-    repeated.  Columns ``others`` may not be named like an added one.  Empty input: no rows.
+    repeated.  A column of ``others`` named like an added one is dropped.  Empty input: no rows.
     """
     if length - seed + 1 > 63 or seed < 1:
         raise ValueError("a seed must leave at most 63 places in a window")
-    clash = {"n_words", "n_removed", "n_repeats", "kept_text", "kept_sha256", "key", "found"} & set(others)
-    if clash:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
     spark = ship(documents.sparkSession)
-    keyed = _keyed(documents, [c for c in others if c != "text"])
-    others = [c for c in others if c != "text"]
+    taken = {"text", "key", "found", "n_words", "n_removed", "n_repeats", "kept_text", "kept_sha256"}
+    others = [c for c in others if c not in taken]
+    keyed = _keyed(documents, others)
     with Scratch(spark) as keep:
         spots, entries = _found(keyed, keep, length, seed)
     found = spots.groupBy("key").agg(F.collect_list(F.struct("place", "mask")).alias("found"))

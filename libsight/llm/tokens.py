@@ -146,9 +146,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     """
     ship(df.sparkSession)
     table = MergeTable(path)
-    clash = {"n_bytes", "n_tokens", "over_limit"} & set(keep)
-    if clash:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
+    keep = tuple(c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit"))
     slim = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     schema = ", ".join(filter(None, [schema, "n_bytes bigint, n_tokens bigint, over_limit boolean"]))
