@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from libsight.functions.ordered import skew_join, top_per_group
 from libsight.functions.rules import FieldRule, matches_query
+from libsight.functions.text import utf16_length
 
 # The default palette and its names.
 DEFAULT_COLORS = {"#ffd400": "Yellow", "#ff6666": "Red", "#5fb236": "Green", "#2ea8e5": "Blue",
@@ -75,16 +76,23 @@ def filter_annotations(annotations: DataFrame, query: str = "", color: str = "")
     return kept.where(matches_query(haystack(), query)) if query.strip() else kept
 
 
+def characters(annotations: DataFrame) -> Column:
+    """UTF-16 units of an annotation's text and comment; a missing one counts 0."""
+    parts = [utf16_length(F.coalesce(F.col(c), F.lit(""))).cast("bigint")
+             for c in ("text", "comment") if c in annotations.columns]
+    return sum(parts[1:], parts[0])
+
+
 def page_characters(annotations: DataFrame) -> DataFrame:
     """Characters of text and comment per (item, page); unknown pages excluded."""
     return (annotations.where("page >= 0").groupBy("item_key", "page")
-            .agg(F.sum("n_chars").alias("chars")))
+            .agg(F.sum(characters(annotations)).alias("chars")))
 
 
 def item_heat(annotations: DataFrame) -> DataFrame:
     """Total characters and count per item."""
     return annotations.groupBy("item_key").agg(
-        F.sum("n_chars").alias("chars"), F.count("*").alias("annotations"))
+        F.sum(characters(annotations)).alias("chars"), F.count("*").alias("annotations"))
 
 
 def item_colors(annotations: DataFrame) -> DataFrame:
@@ -126,6 +134,19 @@ def matrix(annotations: DataFrame, rules: Sequence[FieldRule], per_cell: int = 8
     return first.groupBy("item_key").pivot("rule", [r.name for r in rules]).agg(cell)
 
 
+def export_cells(annotations: DataFrame, rules: Sequence[FieldRule]) -> DataFrame:
+    """Papers × rules for the export: every hit, uncut, in page order, with its page label.
+
+    A cell is one line of text by the export's format, so its hits meet in one row.
+    """
+    hits = matrix_hits(annotations, rules)
+    shown = F.concat(first_text(), F.lit(" (p."), F.coalesce("page_label", (F.col("page") + 1).cast("string")),
+                     F.lit(")"))
+    cell = F.transform(F.array_sort(F.collect_list(F.struct("page", "annotation_key", shown.alias("shown")))),
+                       lambda s: s["shown"])
+    return hits.groupBy("item_key").pivot("rule", [r.name for r in rules]).agg(cell)
+
+
 def first_text() -> Column:
     comment = (F.coalesce(F.col("comment"), F.lit("")))
     return F.coalesce(F.nullif(F.col("text"), F.lit("")), comment)

@@ -66,15 +66,18 @@ def annotation_lines(annotations: DataFrame) -> DataFrame:
     return annotations.withColumn("line", annotation_line()).where(F.length("line") > MIN_LINE)
 
 
-def annotation_context(annotations: DataFrame, budget: int = 60_000) -> DataFrame:
-    """Annotation block per item in page order, within a token budget.
+def annotation_context(annotations: DataFrame, budget: int | None = None) -> DataFrame:
+    """Annotation block per item in page order; all of it, or within a token budget.
 
-    A line has over 12 characters, hence at least 4 tokens, which bounds the
-    lines per item that can matter.
+    With a budget: a line has over 12 characters, hence at least 4 tokens, which
+    bounds the lines per item that can matter.
     """
-    lines = top_per_group(annotation_lines(annotations), ["item_key"],
-                          [F.col("page"), F.col("annotation_key")], budget // 4, "position")
-    block = _joined(lines, ["item_key"], F.col("line"), "\n", "annotations")
+    lines, order = annotation_lines(annotations), [F.col("page"), F.col("annotation_key")]
+    if budget is None:
+        listed = lines.withColumn("position", F.struct("page", "annotation_key"))
+        return _joined(listed, ["item_key"], F.col("line"), "\n", "annotations")
+    first = top_per_group(lines, ["item_key"], order, budget // 4, "position")
+    block = _joined(first, ["item_key"], F.col("line"), "\n", "annotations")
     return block.withColumn("annotations", tx.clamp_tokens("annotations", budget))
 
 

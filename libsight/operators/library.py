@@ -90,9 +90,11 @@ def item_digest(items: DataFrame, summary: DataFrame, annotations: DataFrame,
     shown = _listed(annotations, F.substring(anno.first_text(), 1, 220), "first_annotations",
                     [F.col("page"), F.col("annotation_key")], 12)
     heat = anno.item_heat(annotations)
-    spread = _listed(anno.item_colors(annotations), F.concat_ws(
-        " ", anno.color_name("color"), F.col("n").cast("string")), "colors",
-        [F.col("n").desc(), F.col("color")], 256)
+    # every colour in use: a row per colour, so few by nature
+    tally = F.struct((-F.col("n")).alias("less"), "color", F.concat_ws(
+        " ", anno.color_name("color"), F.col("n").cast("string")).alias("v"))
+    spread = anno.item_colors(annotations).groupBy("item_key").agg(F.transform(
+        F.array_sort(F.collect_list(tally)), lambda s: s["v"]).alias("colors"))
     noted = _listed(notes, F.substring(text.strip_html("html"), 1, 160), "first_notes",
                     [F.col("note_id")], 8)
     read = summary.where("seconds > 30").select("item_key", "minutes", "coverage")

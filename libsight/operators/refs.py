@@ -46,10 +46,14 @@ def gaps(refs: DataFrame, owned: DataFrame, min_hits: int = 3, distinct_citing:
     """
     rows = refs
     if distinct_citing:
-        rows = _with_gap_key(refs, unicode_titles).dropDuplicates(["gap_key", "citing_key"])
+        named = _with_gap_key(refs, unicode_titles)
+        least = F.struct("doi", "title", "citations")
+        rows = (named.groupBy("gap_key", "citing_key").agg(F.min(least).alias("_least"))
+                .select("citing_key", "_least.*"))
     works = rows.groupBy("doi", "title").agg(
-        F.count("*").alias("hits"), F.min("citing_key").alias("_citing"),
-        F.min_by("citations", "citing_key").alias("citations"))
+        F.count("*").alias("hits"), F.min(F.struct("citing_key", "citations")).alias("_least"))
+    works = works.select("doi", "title", "hits", F.col("_least.citing_key").alias("_citing"),
+                         F.col("_least.citations").alias("citations"))
     keyed = _with_gap_key(works, unicode_titles)
     tally = keyed.groupBy("gap_key", "_doi", "_title").agg(
         F.sum("hits").alias("hits"),
@@ -79,6 +83,18 @@ def cited_by(refs: DataFrame, gap_table: DataFrame, owned: DataFrame | None = No
                          [F.col("citing_key")], most, "position")
 
 
+def cited_by_titles(citations: DataFrame, items: DataFrame, chars: int = 60) -> DataFrame:
+    """The citing works of each gap by title: ``gap_key, cited_by`` in order.
+
+    ``citations`` come from :func:`cited_by`, at most a few rows per gap; titles are cut to
+    ``chars`` characters, and a citing work without an item has an empty one.
+    """
+    named = citations.join(items.select(F.col("item_key").alias("citing_key"), "title"), "citing_key", "left")
+    entry = F.struct("position", F.substring(F.coalesce("title", F.lit("")), 1, chars).alias("t"))
+    return named.groupBy("gap_key").agg(F.transform(
+        F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias("cited_by"))
+
+
 def rank_gaps(gap_table: DataFrame, most: int = 40) -> DataFrame:
     return gap_table.orderBy(F.col("hits").desc(), F.coalesce("citations", F.lit(0)).desc(),
                              "gap_key").limit(most)

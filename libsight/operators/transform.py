@@ -78,9 +78,9 @@ def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id
             done = [pair for group in _groups(frame[prompt].tolist(), batch) for pair in ask(group)]
             yield frame.assign(answer=[a for a, _ in done], error=[e for _, e in done])
 
-    done = rows.mapInPandas(run, out)
-    return (cut_lineage(done) if keep else done).withColumns({
+    done = rows.mapInPandas(run, out).withColumns({
         "model": F.lit(model), "prompt_id": F.lit(prompt_id), "answered_at": F.current_timestamp()})
+    return cut_lineage(done) if keep else done
 
 
 def landed(df: DataFrame, path: str) -> DataFrame:
@@ -150,7 +150,8 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
 def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
     """``text_hash, text, value, error`` of one engine; '' where it gave nothing.
 
-    A fatal cause ends the engine for the rest of the task's rows.
+    Entries missing at a reply's end count as empty; a reply with surplus entries fails its
+    batch.  A fatal cause ends the engine for the rest of the task's rows.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fatal: str | None = None
@@ -161,7 +162,9 @@ def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
                 got, why = [""] * len(group), fatal
                 if fatal is None:
                     try:
-                        reply = list(engine.fn(list(group)))[:len(group)]
+                        reply = list(engine.fn(list(group)))
+                        if len(reply) > len(group):  # which entry is whose is not known
+                            raise ValueError(f"{len(reply)} replies to {len(group)} texts")
                         got = [v or "" for v in reply] + [""] * (len(group) - len(reply))
                     except Exception as error:  # soft failures go on to the next engine
                         why = str(error) or type(error).__name__

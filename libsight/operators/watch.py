@@ -57,11 +57,16 @@ def remember(seen: DataFrame, added: DataFrame, memory: int = MEMORY) -> DataFra
                          memory)
 
 
-def replay(findings: DataFrame) -> DataFrame:
+def replay(findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """First day each finding was new to its watch, baseline day left out.
 
-    The whole history of runs in one pass, for a memory that never fills up.
+    The whole history of runs in one pass, for a memory that never fills up.  ``runs``
+    (``watch_id, run_day``) also names runs that found nothing: the first run is the baseline
+    whatever it found.
     """
     first = findings.groupBy("watch_id", "finding_id").agg(F.min("run_day").alias("run_day"))
-    baseline = first.groupBy("watch_id").agg(F.min("run_day").alias("_first_run"))
+    days = first.select("watch_id", "run_day")
+    if runs is not None:
+        days = days.unionByName(runs.select("watch_id", "run_day"))
+    baseline = days.groupBy("watch_id").agg(F.min("run_day").alias("_first_run"))
     return (first.join(baseline, "watch_id").where("run_day > _first_run").drop("_first_run"))

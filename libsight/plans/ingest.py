@@ -98,8 +98,7 @@ def rank_ingest(t: Tables) -> DataFrame:
 UNION ALL SELECT item_id, 1, 'second', 7 FROM benchmark""")
 def claim_reply(t: Tables) -> DataFrame:
     answer = F.concat(F.lit("Here you are:\n"), F.to_json(F.array(
-        F.struct(F.concat(F.lit(" "), "text").alias("claim"), F.col("item_id").cast("string").alias("page")))).substr(
-        F.lit(1), F.lit(2 ** 30)), F.lit(""))
+        F.struct(F.concat(F.lit(" "), "text").alias("claim"), F.col("item_id").cast("string").alias("page")))), F.lit(""))
     listed = F.concat(F.regexp_replace(answer, r"\]$", ""), F.lit(
         ',{"claim":5},{"other":"x"},{"claim":"second","page":7},{"claim":"cut","page":1}]\nDone.'))
     answers = t.benchmark.select(F.col("item_id").alias("item_key"), listed.alias("answer"))
@@ -279,12 +278,13 @@ def prompt_job(t: Tables) -> DataFrame:
 
 
 def _claim_model(texts: list[str]) -> list[str]:
-    """Stand-in: claims the first words of the paper."""
+    """Stand-in: claims six words of the paper at a time, four claims in all."""
     import json
     out = []
     for text in texts:
-        body = text.split("\n\n", 1)[1]
-        out.append("Claims: " + json.dumps([{"claim": " ".join(body.split()[:6]), "page": 1}]))
+        words = text.split("\n\n", 1)[1].split()
+        out.append("Claims: " + json.dumps([
+            {"claim": " ".join(words[at:at + 6]), "page": at // 6 + 1} for at in range(0, min(24, len(words)), 6)]))
     return out
 
 
@@ -301,7 +301,7 @@ def _judge_model(texts: list[str]) -> list[str]:
 
 def _claims(t: Tables) -> DataFrame:
     papers = t.benchmark.select(F.col("item_id").alias("item_key"), F.col("text").alias("context"))
-    return claims.extract(papers, _claim_model, limit=1)
+    return claims.extract(papers, _claim_model, limit=claims.claims_per_paper(papers.count()))
 
 
 def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
@@ -314,8 +314,10 @@ def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
     return claims.judge(pairs, _judge_model)
 
 
-@query("""SELECT item_id || ':0' AS claim_id, item_id AS item_key, array_to_string(list_filter(
-regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:6], ' ') AS claim, 1 AS page FROM benchmark""")
+@query("""SELECT item_id || ':' || k AS claim_id, item_id AS item_key, array_to_string(w[6 * k + 1:6 * k + 6], ' ') AS claim,
+CAST(k + 1 AS INT) AS page FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM benchmark) b,
+(SELECT unnest(range(5)) AS k) n WHERE 6 * k < least(24, len(w))
+AND k < (SELECT CASE WHEN count(*) > 4 THEN 3 ELSE 5 END FROM benchmark)""")
 def claim_extract(t: Tables) -> DataFrame:
     return _claims(t)
 
@@ -332,8 +334,8 @@ def claim_conflicts(t: Tables) -> DataFrame:
 
 @query()
 def claim_matrix(t: Tables) -> DataFrame:
-    # the sources are the papers; their number is fixed by the table's generator
-    papers = [str(n) for n in range(20)]
+    # the sources are the papers: one column each, so they are few by nature
+    papers = [str(r[0]) for r in t.corpus.select("item_key").distinct().orderBy("item_key").collect()]
     found = _claims(t)
     cells = _cells(t, found).withColumn("item_key", F.col("item_key").cast("string"))
     return digests.claim_matrix(claims.matrix(cells, papers), found.select("claim_id", "claim"), papers)
@@ -358,14 +360,15 @@ def picked_passages(t: Tables) -> DataFrame:
 
 # --- digests
 
-@query(HITS + """, cells AS (SELECT item_key, rule, string_agg(text, '<br/>' ORDER BY position) AS cell FROM ranked WHERE position <= 8 GROUP BY ALL)
+@query(HITS + """, cells AS (SELECT item_key, rule, string_agg(text || ' (p.' || (page + 1) || ')', '<br/>' ORDER BY position) AS cell FROM ranked GROUP BY ALL)
 SELECT '0' AS sort, '| Paper | urgent | second | high |' AS line UNION ALL SELECT '1', '| --- | --- | --- | --- |'
 UNION ALL SELECT '2' || item_key, '| ' || 'Anon. n.d. — ' || i.title || ' | ' || coalesce(u.cell, '') || ' | ' || coalesce(s.cell, '') || ' | ' || coalesce(h.cell, '') || ' |'
 FROM (SELECT DISTINCT item_key FROM hits) k JOIN items i USING (item_key)
 LEFT JOIN (SELECT * FROM cells WHERE rule = 'urgent') u USING (item_key) LEFT JOIN (SELECT * FROM cells WHERE rule = 'second') s USING (item_key)
 LEFT JOIN (SELECT * FROM cells WHERE rule = 'high') h USING (item_key)""")
 def matrix_digest(t: Tables) -> DataFrame:
-    cells = anno.matrix(_annotations(t), RULES)
+    marks = _annotations(t).withColumn("page_label", (F.col("page") + 1).cast("string"))
+    cells = anno.export_cells(marks, RULES)
     named = cells.join(t.items.select("item_key", "title"), "item_key").withColumn("citation", F.lit("Anon. n.d."))
     return digests.annotation_matrix(named, [r.name for r in RULES])
 

@@ -34,7 +34,10 @@ def _table_rows(body: DataFrame, header: Sequence[str]) -> DataFrame:
 
 def annotation_matrix(cells: DataFrame, rules: Sequence[str], citation: str = "citation",
                       title: str = "title") -> DataFrame:
-    """Markdown table lines ``sort, line`` of an annotation matrix."""
+    """Markdown table lines ``sort, line`` of an annotation matrix.
+
+    ``cells`` come from :func:`libsight.operators.annotations.export_cells`.
+    """
     columns = [F.replace(F.array_join(F.coalesce(F.col(r), F.array().cast("array<string>")), "<br/>"),
                          F.lit("|"), F.lit("\\|")) for r in rules]
     paper = F.concat(F.col(citation), F.lit(" — "), _bare(title))
