@@ -14,7 +14,7 @@ from libsight.streaming import state as versions
 
 CREDITS = ("tick_id bigint, reader_id bigint, attachment_key bigint, item_key bigint, "
            "num_pages int, ts timestamp, credit_ms bigint, turned boolean, credited_page int")
-_STATE = "attachment_key bigint, page int, since_ms bigint, focused boolean"
+_STATE = "attachment_key bigint, page int, since_ms bigint, focused boolean, tick_id bigint"
 
 
 # --- per-reader state, for low latency
@@ -26,11 +26,18 @@ def _clock(cap_ms: int, idle_ms: int):
             return
         ticks = pd.concat(list(frames)).sort_values(["ts", "tick_id"], ignore_index=True)
         at = ticks["ts"].astype("datetime64[us]").astype("int64") // 1000
+        if group.exists:
+            # the clock never runs back: a tick before the carried one neither credits nor counts
+            _, _, since, _, carried = group.get
+            later = (at > since) | ((at == since) & (ticks["tick_id"] > carried))
+            ticks, at = ticks[later].reset_index(drop=True), at[later].reset_index(drop=True)
+            if ticks.empty:
+                return
         now = pd.DataFrame({"attachment_key": ticks["attachment_key"], "page": ticks["page"],
                             "since_ms": at, "focused": ticks["focused"].astype(bool)})
         before = now.shift(1)
         if group.exists:
-            before.loc[0, list(now.columns)] = list(group.get)
+            before.loc[0, list(now.columns)] = list(group.get)[:4]
         running = now["focused"] & (before["focused"] == True) & (  # noqa: E712 - missing is not True
             before["attachment_key"] == now["attachment_key"])
         gap = (now["since_ms"] - before["since_ms"].astype("float64")).clip(upper=cap_ms)
@@ -40,7 +47,8 @@ def _clock(cap_ms: int, idle_ms: int):
             turned=running & (before["page"] != now["page"]),
             credited_page=before["page"].astype("float64").astype("Int64"))
         last = now.iloc[-1]
-        group.update((int(last.attachment_key), int(last.page), int(last.since_ms), bool(last.focused)))
+        group.update((int(last.attachment_key), int(last.page), int(last.since_ms), bool(last.focused),
+                      int(ticks["tick_id"].iloc[-1])))
         group.setTimeoutTimestamp(int(last.since_ms) + idle_ms)
         yield out.loc[credited | out["turned"], [f.split()[0] for f in CREDITS.split(", ")]]
     return step
@@ -75,13 +83,18 @@ def credit_batches(out: str, state: str, cap_seconds: float = reading.TICK_CAP_S
     """``foreachBatch`` function: credits of each batch, each reader's last tick carried over.
 
     The batch clock runs over the batch and the carried ticks, so a busy reader
-    is spread by hour here as well.  A tick older than the carried one credits
-    nothing.
+    is spread by hour here as well.  A tick before the carried one credits nothing and
+    does not set the clock back.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         fields = reading_fields(batch.columns)
-        fresh = batch.select(*fields).persist()
+        held = batch.select(*fields).persist()
+        fresh = held
         carried = versions.read(batch.sparkSession, state, batch_id, _carry_schema(fresh.schema))
+        passed = carried.select("reader_id", F.struct("ts", "tick_id").alias("_passed"))
+        fresh = (fresh.join(passed, "reader_id", "left")
+                 .where(F.col("_passed").isNull() | (F.struct("ts", "tick_id") > F.col("_passed")))
+                 .select(*fields))
         rows = (carried.select(*fields).withColumn("_fresh", F.lit(False))
                 .unionByName(fresh.withColumn("_fresh", F.lit(True))))
         order = ("_fresh", "ts", "tick_id")
@@ -89,9 +102,9 @@ def credit_batches(out: str, state: str, cap_seconds: float = reading.TICK_CAP_S
         credited = reading.credits(rows, cap_seconds, order, bucket=bucket).where("_fresh")
         versions.emit(credited.drop("_fresh"), out, batch_id)
         last = rows.groupBy("reader_id").agg(F.max_by(
-            F.struct(*[f for f in fields if f != "reader_id"]), F.struct(*order)).alias("_l"))
+            F.struct(*[f for f in fields if f != "reader_id"]), F.struct("ts", "tick_id")).alias("_l"))
         versions.write(last.select("reader_id", "_l.*").select(*fields), state, batch_id)
-        fresh.unpersist()
+        held.unpersist()
     return run
 
 

@@ -65,3 +65,66 @@ def test_claim_matrix_fills_missing_pairs(spark):
     named = cells.select("claim_id", F.concat(F.lit("says |"), "claim_id").alias("claim")).distinct()
     lines = digests.claim_matrix(claims.matrix(cells, ["p1", "p2"]), named, ["p1", "p2"]).orderBy("sort").collect()
     assert [r.line for r in lines] == ["| Claim | p1 | p2 |", "| --- | --- | --- |", "| says c1 | ✔ ab | ✘ |", "| says c2 | ~ | · |"]
+
+
+def test_first_run_without_findings_is_the_baseline(spark, folder):
+    day = dt.datetime(2024, 1, 1)
+    stream = _parts(spark, folder, "watch_id string, finding_id string, seen_at timestamp",
+                    [("a", None, day), ("b", "p1", day)], [("a", "p2", day), ("b", "p1", day)],
+                    [("a", "p2", day), ("b", "p3", day)])
+    state.writer(stream, jobs.alert_batches(f"{folder}/out", f"{folder}/state"), f"{folder}/c").start().awaitTermination()
+    got = sorted((r.watch_id, r.finding_id) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == [("a", "p2"), ("b", "p3")]
+    found = spark.createDataFrame([("a", "p2", 2), ("b", "p1", 1)], "watch_id string, finding_id string, run_day int")
+    runs = spark.createDataFrame([("a", 1), ("b", 1)], "watch_id string, run_day int")
+    assert [r.finding_id for r in watch.replay(found, runs).collect()] == ["p2"]
+
+
+def test_new_query_goes_on_from_old_state(spark, folder):
+    schema = "annotation_key bigint, item_key bigint, text string, comment string"
+    long = "a passage that is long enough"
+    for n, rows in enumerate(([(1, 7, long, "")], [(1, 7, long, ""), (2, 7, long, "")])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in{n}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in{n}")
+        run = jobs.enrol_batches(f"{folder}/out", f"{folder}/state")
+        state.writer(stream, run, f"{folder}/c{n}").start().awaitTermination()
+    cards = spark.read.parquet(f"{folder}/out").collect()
+    assert sorted(c.card_key for c in cards) == [1, 2]
+
+
+def test_translations_are_read_from_and_written_to_the_cache(spark, folder):
+    asked = spark.sparkContext.accumulator(0)
+
+    def shout(texts):
+        asked.add(len(texts))
+        return [t.upper() for t in texts]
+
+    schema = "item_key bigint, title string, abstract string"
+    stream = _parts(spark, folder, schema, [(1, "one", "ab")], [(2, "one", "cd")])
+    fn = jobs.translate_batches(f"{folder}/out", [transform.Engine("up", shout)], "up", "en", cache=f"{folder}/cache")
+    state.writer(stream, fn, f"{folder}/c").start().awaitTermination()
+    rows = sorted((r.item_key, r.title_translated, r.abstract_translated) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert rows == [(1, "ONE", "AB"), (2, "ONE", "CD")]
+    assert asked.value == 3
+
+
+def test_surplus_replies_fail_their_batch(spark):
+    texts = transform.distinct_texts(spark.createDataFrame([("a",), ("b",)], "text string"))
+    more = transform.Engine("more", lambda t: [*t, "extra"], batch=2)
+    plain = transform.Engine("plain", lambda t: [x * 2 for x in t], batch=2)
+    got = {r.text: (r.value, r.engine) for r in transform.translate_texts(texts, [more, plain], "more", "en").collect()}
+    assert got == {"a": ("aa", "plain"), "b": ("bb", "plain")}
+
+
+def test_gap_ties_and_citing_titles(spark):
+    from libsight.operators import refs
+    rows = [(1, "10.1/x", "T", 5), (1, "10.1/x", "T", 3), (2, "10.1/x", "T", 9)]
+    table = spark.createDataFrame(rows, "citing_key bigint, doi string, title string, citations int")
+    owned = spark.createDataFrame([], "item_key bigint, doi string, title string")
+    got = refs.gaps(table, owned, 1).first()
+    assert (got.hits, got.citations) == (3, 3)
+    once = refs.gaps(table, owned, 1, distinct_citing=True).first()
+    assert (once.hits, once.citations) == (2, 3)
+    cited = refs.cited_by(table.dropDuplicates(["citing_key"]), spark.createDataFrame([("10.1/x",)], "gap_key string"))
+    items = spark.createDataFrame([(1, "A" * 80), (2, "B")], "item_key bigint, title string")
+    assert refs.cited_by_titles(cited, items).first().cited_by == ["A" * 60, "B"]

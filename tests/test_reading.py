@@ -149,3 +149,18 @@ def test_item_summary_and_shelf(spark):
 def test_resampled_heat_overlaps(spark):
     df = spark.createDataFrame([([1.0, 5.0, 2.0, 0.0, 3.0],)], "heat array<double>")
     assert df.select(reading.resample_heat("heat", most=2)).collect()[0][0] == [5.0, 3.0]
+
+
+def test_late_tick_does_not_set_the_clock_back(spark, folder):
+    def t(i, seconds):
+        return (i, 1, 1, 10, 0, True, 5, START + dt.timedelta(seconds=seconds))
+
+    for part in ([t(0, 0), t(1, 10)], [t(2, 3)], [t(3, 12)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    state.writer(stream, clock.credit_batches(f"{folder}/out", f"{folder}/state"), f"{folder}/c").start().awaitTermination()
+    assert sum(r.credit_ms or 0 for r in spark.read.parquet(f"{folder}/out").collect()) == 12_000
+    query = (clock.stateful_credits(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/c2")
+             .option("path", f"{folder}/out2").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sum(r.credit_ms or 0 for r in spark.read.parquet(f"{folder}/out2").collect()) == 12_000

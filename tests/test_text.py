@@ -136,3 +136,11 @@ def test_blocks(spark):
     assert value(spark, blocks.join_fragments(F.array("a", "b")), a=long, b="tomization grew").endswith("mass customization grew")
     pieces = value(spark, blocks.split_across("t", F.array(F.lit(1), F.lit(1))), t="One half ends here. The other half too.")
     assert pieces == ["One half ends here.", "The other half too."]
+
+
+def test_affiliations_end_at_a_full_stop_only(spark):
+    from libsight.functions import blocks
+    df = spark.createDataFrame([("Work of the University of Rome? Then 00185 Roma, Italy",), ("University of Rome, 00185 Roma. Then we saw it",),
+                                ("Keywords : none",)], "t string")
+    assert [r[0] for r in df.select(blocks.is_furniture("t")).collect()][:2] == [True, False]
+    assert blocks.wide(r"^a\s[\s.]\\s") == rf"^a[{blocks.SPACE}][{blocks.SPACE}.]\\s"
