@@ -18,6 +18,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # checkpoint files go when the DataFrame that wrote them is gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # top-k per group is limited before the shuffle up to this k
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     "spark.sql.streaming.stateStore.providerClass":
