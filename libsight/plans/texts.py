@@ -27,12 +27,31 @@ def escape_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.escape_html("html").alias("escaped"))
 
 
-@query()
-def note_markdown(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", tx.note_markdown("html").alias("markdown"))
+def _block_sql(source: str, tag: str, body: int, before: str) -> str:
+    """Each piece up to a closing tag: its block becomes ``before``, the bare body and a line end."""
+    block = rf"(?is)<{tag}[^>]*>(.*?)</{tag}>$"
+    bare = rf"regexp_replace(regexp_replace(regexp_extract(p, '{block}', {body}), '<[^>]+>', '', 'g'), '^{WS}+|{WS}+$', '', 'g')"
+    return rf"""array_to_string(list_transform(string_split(regexp_replace({source}, '(?i)(</{tag}>)', '\1' || chr(1), 'g'), chr(1)),
+lambda p: CASE WHEN regexp_matches(p, '{block}') THEN regexp_replace(p, '{block}', '') || {before} || {bare} || chr(10) ELSE p END), '')"""
 
 
 WS = r"[\s\x{a0}]"
+# the tables' headings close with their own level, so no back-reference is needed
+MARKDOWN = rf"""WITH h AS (SELECT page_id, {_block_sql("html", "h[1-6]", 1, "chr(10) || repeat('#', CAST(regexp_extract(p, '(?i)</h([1-6])>$', 1) AS INT)) || ' '")} AS x FROM pages),
+l AS (SELECT page_id, {_block_sql("x", "li", 1, "'- '")} AS x FROM h),
+q AS (SELECT page_id, {_block_sql("x", "blockquote", 1, "'> '")} AS x FROM l)
+SELECT page_id, replace(replace(replace(replace(
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+'(?is)<(?:strong|b)>(.*?)</(?:strong|b)>', '**\1**', 'g'), '(?is)<(?:em|i)>(.*?)</(?:em|i)>', '*\1*', 'g'),
+'(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', '[\2](\1)', 'g'),
+'(?is)<pre[^>]*>(.*?)</pre>', chr(10) || '```' || chr(10) || '\1' || chr(10) || '```' || chr(10), 'g'),
+'(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'),
+'&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS markdown FROM q"""
+
+
+@query(MARKDOWN)
+def note_markdown(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", tx.note_markdown("html").alias("markdown"))
 
 
 @query(rf"""SELECT doc_id, pos, para FROM (SELECT doc_id, unnest(list_filter(list_transform(
