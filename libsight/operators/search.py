@@ -45,11 +45,12 @@ def _pack(pieces: Sequence[dict], size: int, overlap: int) -> list[tuple[int, st
 
 
 def chunk_text(documents: DataFrame, size: int = 1200, overlap: int = 160, key: str = "item_key",
-               pages: str = "pages") -> DataFrame:
+               pages: str = "pages", carry: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping chunks ``key, n, page, text`` of documents given as page arrays.
 
     Splitting into paragraphs and sentences is done by native expressions; only
-    the sequential packing runs in Python, over Arrow batches.
+    the sequential packing runs in Python, over Arrow batches.  Columns ``carry`` stay with
+    every chunk of their document.
     """
     def pieces_of(page_text, index):
         def of_paragraph(p):
@@ -59,15 +60,17 @@ def chunk_text(documents: DataFrame, size: int = 1200, overlap: int = 160, key:
                 tx.split_sentences(p), lambda s: piece(s, " "))).otherwise(F.array(piece(p, "\n\n")))
         return F.flatten(F.transform(tx.split_paragraphs(page_text), of_paragraph))
 
-    prepared = documents.select(key, F.flatten(F.transform(F.col(pages), pieces_of)).alias("pieces"))
+    prepared = documents.select(key, *carry, F.flatten(F.transform(F.col(pages), pieces_of)).alias("pieces"))
     out = T.StructType([documents.schema[key], T.StructField("n", T.IntegerType()),
-                        T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType())])
+                        T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()),
+                        *[documents.schema[c] for c in carry]])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, n, page, body) for k, pieces in zip(batch[key], batch["pieces"])
+            rows = [(k, n, page, body, *more)
+                    for k, pieces, *more in zip(batch[key], batch["pieces"], *[batch[c] for c in carry])
                     for n, (page, body) in enumerate(_pack(pieces, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "n", "page", "text"])
+            yield pd.DataFrame(rows, columns=[key, "n", "page", "text", *carry])
 
     return prepared.mapInPandas(pack, out)
 
@@ -85,15 +88,15 @@ def build_chunks(items: DataFrame, indexed: DataFrame | None = None, force: bool
     body = F.filter("pages", lambda p: F.coalesce(p, F.lit("")) != "")
     rows = rows.withColumn("_body", body)
     has_body = F.size("_body") > 0
+    # numbering starts at the metadata block where there is one
+    headed = has_body & (F.coalesce("meta", F.lit("")) != "")
+    rows = rows.withColumn("_shift", headed.cast("int"))
     chunked = chunk_text(rows.withColumn("_pages", F.when(has_body, F.col("_body"))
                                          .otherwise(F.array("meta"))),
-                         size, overlap, pages="_pages")
-    heads = rows.where(has_body & (F.coalesce("meta", F.lit("")) != "")).select(
-        "item_key", F.lit(-1).alias("n"), F.lit(-1).alias("page"), F.col("meta").alias("text"))
-    # numbering starts at the metadata block where there is one
-    shift = rows.select("item_key", F.when(has_body & (F.coalesce("meta", F.lit("")) != ""), 1)
-                        .otherwise(0).alias("_shift"))
-    together = chunked.unionByName(heads).join(shift, "item_key")
+                         size, overlap, pages="_pages", carry=("_shift",))
+    heads = rows.where("_shift = 1").select(
+        "item_key", F.lit(-1).alias("n"), F.lit(-1).alias("page"), F.col("meta").alias("text"), "_shift")
+    together = chunked.unionByName(heads)
     return together.select(
         F.concat(F.col("item_key").cast("string"), F.lit(":"),
                  (F.col("n") + F.col("_shift")).cast("string")).alias("chunk_id"),
