@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from libsight.functions import keys, rules, text as tx
-from libsight.operators import context, library, passages, search
+from libsight.functions import bibliography, blocks, keys, rules, text as tx, vectors
+from libsight.operators import context, library, passages, search, watch
 from libsight.plans.registry import Tables, query
 
 STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(
@@ -220,3 +220,82 @@ def annotation_sort_keys(t: Tables) -> DataFrame:
 def chunk_text(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.split("text", "\n").alias("pages"))
     return search.chunk_text(docs, key="doc_id")
+
+
+# --- small expressions over whole tables
+
+@query("""SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[17]::DOUBLE AS b, embedding[33]::DOUBLE AS c, embedding[49]::DOUBLE AS d FROM embeddings""")
+def vector_order(t: Tables) -> DataFrame:
+    # four vectors of a reply, out of order
+    reply = F.array(*[F.struct(F.lit(i).alias("index"), F.slice("embedding", 16 * i + 1, 16).alias("embedding"))
+                      for i in (3, 1, 0, 2)])
+    ordered = t.embeddings.select("vec_id", vectors.order_vectors(reply, F.array(*[F.lit(x) for x in "abcd"])).alias("v"))
+    return ordered.select("vec_id", *[F.col("v")[i][0].cast("double").alias(c) for i, c in enumerate("abcd")])
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'zh' WHEN 1 THEN 'cht' WHEN 2 THEN 'en' WHEN 3 THEN 'auto' ELSE 'xx-Unknown' END AS code FROM customer""")
+def language_codes(t: Tables) -> DataFrame:
+    asked = F.element_at(F.array(*[F.lit(c) for c in ("zh-CN", "ZH-tw", "en", "auto", "xx-Unknown")]),
+                         (F.col("c_custkey") % 5 + 1).cast("int"))
+    return t.customer.select("c_custkey", bibliography.language_code(F.lit("niutrans"), asked).alias("code"))
+
+
+@query("""SELECT item_key, 'A 2020' AS plain, coalesce(nullif(trim(t), ''), 'A 2020') AS titled,
+coalesce(nullif(trim(short), ''), nullif(trim(t), ''), 'A 2020') AS shortened,
+CASE WHEN trim(venue) <> '' THEN trim(trim(venue) || ' ' || y) ELSE 'A 2020' END AS placed
+FROM (SELECT *, CASE WHEN item_key % 3 = 0 THEN ' ' ELSE title END AS t, CASE WHEN item_key % 2 = 0 THEN '' ELSE item_type END AS short,
+  CASE WHEN item_key % 4 = 0 THEN '' ELSE '1999' END AS y FROM items) i""")
+def node_labels(t: Tables) -> DataFrame:
+    key = F.col("item_key")
+    named = t.items.withColumns({
+        "cite": F.lit("A 2020"), "t": F.when(key % 3 == 0, " ").otherwise(F.col("title")),
+        "short": F.when(key % 2 == 0, "").otherwise(F.col("item_type")), "y": F.when(key % 4 == 0, "").otherwise("1999")})
+    return named.select("item_key", *[bibliography.node_label(mode, "cite", "t", "short", "venue", "y").alias(name) for mode, name in (
+        ("citation", "plain"), ("title", "titled"), ("shortTitle", "shortened"), ("venue", "placed"))])
+
+
+@query("""SELECT p_partkey, CASE WHEN len(w) > 6 THEN array_to_string(w[1:6], ', ') || ' et al.' ELSE array_to_string(w, ', ') END AS creators,
+w[1] || CASE WHEN len(w) > 1 THEN ' et al. ' ELSE ' ' END || CASE WHEN p_partkey % 3 = 0 THEN 'n.d.' ELSE '2001' END AS cite, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '2001' END AS node_year
+FROM (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' '), lambda x: x <> '') AS w FROM part) p""")
+def bibliographic_strings(t: Tables) -> DataFrame:
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    creators = F.transform(words, lambda w: F.struct(F.when(F.length(w) > 5, w).alias("lastName"), w.alias("name")))
+    date = F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).otherwise("2001-05-06")
+    return t.part.select("p_partkey", bibliography.creator_string(creators).alias("creators"),
+                         bibliography.citation(creators, date).alias("cite"), bibliography.node_year(date).alias("node_year"))
+
+
+def _bare_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+
+@query(rf"""SELECT doc_id, replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)),
+lambda l: {_bare_sql("l || '-'")}), chr(10)), '[-‐]\n([a-z])', '\1', 'g'), chr(10), ' ') AS healed FROM documents""")
+def healed_fragments(t: Tables) -> DataFrame:
+    parts = F.transform(F.split("text", "\n"), lambda line: F.concat(line, F.lit("-")))
+    return t.documents.select("doc_id", blocks.join_fragments(parts).alias("healed"))
+
+
+@query(rf"""SELECT doc_id, CAST(i AS INT) AS line, length(a) >= 40 AND a <> '' AND b <> '' AND NOT regexp_matches(a, '[.!?:;"''’”)\]}}。！？；：」』]\s*$')
+AND (regexp_matches(b, '^[a-z(\[]') OR regexp_matches(a, '[-‐]$')) AS runs_on FROM (
+  SELECT doc_id, i, {_bare_sql("l[i + 1]")} AS a, {_bare_sql("l[i + 2]")} AS b FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(len(l) - 1)) AS i FROM documents) d) p""")
+def running_on(t: Tables) -> DataFrame:
+    lines = F.split("text", "\n")
+    pairs = t.documents.select("doc_id", lines.alias("l")).select("doc_id", F.posexplode(F.arrays_zip(
+        F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"), F.slice("l", 2, F.size("l")).alias("b"))).alias("line", "p"))
+    return pairs.select("doc_id", "line", blocks.continues_into("p.a", "p.b").alias("runs_on"))
+
+
+@query("""SELECT 'w' || item_key AS watch_id, CASE WHEN item_key % 3 = 0 THEN 'old' ELSE 'A — ' || substring(title, 1, 60) END AS label
+FROM items WHERE item_key % 5 <> 0""")
+def watch_registry(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("w"), F.col("item_key").cast("string"))
+    old = t.items.where("item_key % 3 = 0").select(
+        name.alias("watch_id"), F.lit("citations").alias("kind"), F.lit("old").alias("label"), "item_key",
+        F.lit(None).cast("string").alias("query"))
+    both = watch.add_item_watches(old, t.items.withColumn("citation", F.lit("A")))
+    blank = t.items.select(F.lit("  ").alias("query"))
+    gone = t.items.where("item_key % 5 = 0").select(name.alias("watch_id"))
+    return watch.remove_watches(watch.add_query_watches(both, blank), gone).select("watch_id", "label")
