@@ -26,7 +26,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _wrapped(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and all other columns in one, so that no name can clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("rest"))
 
 
 def _unwrapped(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard.join_similar(docs)
     drop = _small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    kept = _wrapped(docs).join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        kept = kept.withColumn("_one", one).where("_one = 1 or doc_id is null").drop("_one")
-    return kept
+        kept = kept.withColumn("_one", one).where("_one = 1 or doc_id is null")
+    return _unwrapped(kept, docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +70,12 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = _small(mixing.mix(docs).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
         F.col("copies").alias("_copies")))
-    sized = docs.withColumn("_words", n_words())
-    joined = sized.join(copies, sized["doc_id"].eqNullSafe(copies["_id"])
-                        & sized["source"].eqNullSafe(copies["_source"])
-                        & (sized["_words"] == copies["_size"]))
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    sized = _wrapped(docs).withColumn("_words", n_words())
+    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))
+                        & F.col("rest.source").cast("string").eqNullSafe(F.col("_source"))
+                        & (F.col("_words") == F.col("_size")))
+    return _unwrapped(joined.withColumn("_copy", F.explode(
+        F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from libsight.llm import (
     chat, classifier, fingerprint, jaccard, mixing, packing, pages, rules, substrings,
     tokens)
+from libsight.llm.oracles import ORACLES  # noqa: F401
 from libsight.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
