@@ -1,16 +1,17 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set are its distinct word shingles.  All sets are sorted by one order, rare
-shingles first (a count sketch of the whole corpus says what is frequent).  Two sets of
-Jaccard t or more share at least k shingles of their k-prefixes, the first
-``n - ceil(t n) + k``, for every k.  Each document picks the k at which scanning its longer
-prefix and verifying its fewer candidates are estimated to cost least; a pair is verified if
-it shares the smaller k of the two.
+shingles first (a count sketch of the whole corpus says what is frequent).  Two sets of sizes
+n and m and Jaccard t or more share o = ceil(t (n + m) / (1 + t)) shingles, hence, for every
+k, at least k among the first n - o + k of the one and m - o + k of the other.  Each document
+picks the k at which scanning its longer prefix and verifying its fewer candidates are
+estimated to cost least; a pair is verified if it shares the smaller k of the two.
 
 Links are wanted as components, so a list of documents that share a shingle is first tied
-to one centre: each document is verified against the centres it meets most often.  Only
-lists that still hold several components are then joined pair by pair, across components,
-which keeps every link and never spells out the pairs inside a group of copies.
+to one centre, the document in which the fewest rarer shingles precede it: each document is
+verified against the centres it meets most often.  Only lists that still hold several
+components are then joined, each document outside a list's largest component with the
+others, which keeps every link and never spells out the pairs inside a group of copies.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from libsight.llm.components import components
 from libsight.llm.scratch import Scratch
@@ -127,8 +128,8 @@ def _levels(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix shingles: ``token, doc, meta`` with meta = set size * 16 + the least k whose prefix
-    holds the shingle.  Copies inside one task are emitted once."""
+    """Prefix shingles: ``token, doc, meta`` with meta = set size * 2**32 + rank in the set, as
+    far as any partner and any k can ask.  Copies inside one task are emitted once."""
     shared = documents.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +147,13 @@ def _prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int)
                     seen.clear()
                 ends = np.cumsum(n)
                 rank = np.arange(len(h)) - (ends - n)[owner]
-                need = np.maximum(rank - (n - (percent * n + 99) // 100)[owner] + 1, 1)
-                pick = (need <= STEPS[-1]) & fresh[owner]
-                owner, need = owner[pick], need[pick]
+                most = n - (percent * n + 99) // 100 + STEPS[-1]
+                pick = (rank < most[owner]) & fresh[owner]
+                owner = owner[pick]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h[pick])), pa.array(ids[block.row + owner]),
-                     pa.array(n[owner] * 16 + need)], names=["token", "doc", "meta"])
+                     pa.array((n[owner].astype(np.int64) << 32) + rank[pick])],
+                    names=["token", "doc", "meta"])
 
     return (documents.select("doc_id", "text")
             .mapInArrow(run, "token bigint, doc bigint, meta bigint"))
@@ -229,50 +231,67 @@ def join_similar(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
                           .where("_c > 1"), ["k1", "k2", "n"])
                  .select(F.col("doc_id").alias("a"), "b").where("a <> b"))
 
-        by_token = Window.partitionBy("token")
+        by_token, by_part = Window.partitionBy("token"), Window.partitionBy("token", "comp")
         lists = keep(
-            _prefixes(known, levels, size, percent).repartition("token")
-            .withColumn("centre", F.min(F.struct("doc", "meta")).over(by_token))
-            .withColumn("df", F.count("*").over(by_token)).where("df > 1")
-            .select("token", "doc", F.shiftright("meta", 4).alias("n"),
-                    F.col("meta").bitwiseAND(15).cast("int").alias("need"), "df",
-                    F.col("centre.doc").alias("centre"), F.shiftright("centre.meta", 4).alias("centre_n")))
-
-        def near_size(a: str, b: str):
-            return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-        met = (lists.where(F.col("doc") != F.col("centre")).where(near_size("n", "centre_n"))
-               .groupBy("doc", "centre").agg(F.count("*").alias("met")))
-        best = Window.partitionBy("doc").orderBy(F.desc("met"), "centre")
+            _prefixes(known, levels, size, percent)
+            .select("token", "doc", F.shiftright("meta", 32).alias("n"),
+                    F.col("meta").bitwiseAND((1 << 32) - 1).alias("rank")).repartition("token")
+            .withColumn("centre", F.min(F.struct("rank", "doc", "n")).over(by_token))
+            .withColumn("_met", F.count("*").over(by_token)).where("_met > 1")
+            .select("token", "doc", "n", "rank", F.col("centre.doc").alias("centre_doc"),
+                    F.col("centre.n").alias("centre_n"), F.col("centre.rank").alias("centre_rank")))
+
+        def overlap(a: str, b: str) -> Column:
+            return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100.0 + percent) - 1e-9)
+
+        def within(one: str, other: str, k: Column) -> Column:
+            """Both entries lie in the k-prefixes that this pair of sizes asks for."""
+            o, (n, m) = overlap(f"{one}n", f"{other}n"), (F.col(f"{one}n"), F.col(f"{other}n"))
+            return ((o <= F.least(n, m)) & (F.col(f"{one}rank") < n - o + k)
+                    & (F.col(f"{other}rank") < m - o + k))
+
+        met = (lists.where("doc <> centre_doc").where(within("", "centre_", F.lit(1)))
+               .groupBy("doc", "centre_doc").agg(F.count("*").alias("met")))
+        best = Window.partitionBy("doc").orderBy(F.desc("met"), "centre_doc")
         first = keep(met.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= CENTRES)
-                     .select(F.col("centre").alias("a"), F.col("doc").alias("b")))
+                     .select(F.col("centre_doc").alias("a"), F.col("doc").alias("b")))
         links = keep(_verified(first, known, size, percent))
         edges = stars.unionByName(links)
         comps = components(edges, keep)
 
-        # lists that still hold several components
-        joined = (lists.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-                  .withColumn("comp", F.coalesce("comp", "doc")))
-        open_ = keep(joined.withColumn("_low", F.min("comp").over(by_token))
-                     .withColumn("_high", F.max("comp").over(by_token)).where("_low <> _high")
-                     .select("token", "doc", "n", "need", "df", "comp"))
-        # k by estimated cost: entries scanned, and candidates to verify if k shared ones are asked
-        spread = [F.sum(F.when(F.col("need") <= k, F.col("df") - 1)).alias(f"s{k}") for k in STEPS]
-        costs = F.array(*[F.struct((F.col(f"s{k}") * (1 + VERIFY_COST / k)).alias("cost"),
+        # lists that still hold several components; ``others``: entries of other components,
+        # ``outside``: not of the list's largest component
+        joined = (lists.select("token", "doc", "n", "rank")
+                  .join(comps.withColumnRenamed("node", "doc"), "doc", "left")
+                  .withColumn("comp", F.coalesce("comp", "doc")).repartition("token"))
+        open_ = keep(joined.withColumn("_met", F.count("*").over(by_token))
+                     .withColumn("_own", F.count("*").over(by_part)).where("_met > _own")
+                     .withColumn("_main", F.max(F.struct("_own", "comp")).over(by_token)["comp"])
+                     .select("token", "doc", "n", "rank", "comp", (F.col("_met") - F.col("_own")).alias("others"),
+                             (F.col("comp") != F.col("_main")).alias("outside")))
+        # k by estimated cost for partners of equal size: entries scanned, and candidates to verify
+        # if k shared ones are asked
+        most = F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100.0 + percent))
+        spread = [F.sum(F.when(F.col("rank") < most + k, F.col("others"))).alias(f"s{k}") for k in STEPS]
+        costs = F.array(*[F.struct((F.coalesce(F.col(f"s{k}"), F.lit(0)) * (1 + VERIFY_COST / k)).alias("cost"),
                                    F.lit(k).alias("k")) for k in STEPS])
         chosen = (open_.groupBy("doc").agg(*spread)
                   .select("doc", F.array_min(costs)["k"].alias("k")))
-        entries = keep(open_.join(chosen, "doc").where("need <= k")
-                       .select("token", "doc", "n", "need", "comp", "k"))
-        left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in
-                                                 ("doc", "n", "need", "comp", "k")]) for s in "ab")
-        candidates = (left.join(right, "token").where("comp_a <> comp_b and doc_a < doc_b")
-                      .where(near_size("n_a", "n_b"))
-                      .where(F.greatest("need_a", "need_b") <= F.least("k_a", "k_b"))
-                      .groupBy("doc_a", "doc_b").agg(F.count("*").alias("met"),
-                                                     F.min(F.least("k_a", "k_b")).alias("k"))
-                      .where("met >= k").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-        second = keep(candidates.join(first, ["a", "b"], "left_anti"))
+        loosest = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100.0))
+        entries = keep(open_.join(chosen, "doc").where(F.col("rank") < loosest + F.col("k"))
+                       .select("token", "doc", "n", "rank", "comp", "k", "outside"))
+        left, right = (entries.select("token", *[F.col(c).alias(f"{s}{c}") for c in
+                                                 ("doc", "n", "rank", "comp", "k", "outside")])
+                       for s in ("a_", "b_"))
+        k = F.least("a_k", "b_k")
+        candidates = (left.where("a_outside").join(right, "token")
+                      .where("a_comp <> b_comp and (not b_outside or a_doc < b_doc)")
+                      .where(within("a_", "b_", k))
+                      .groupBy(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
+                      .agg(F.count("*").alias("met"), F.min(k).alias("k"))
+                      .where("met >= k").select("a", "b"))
+        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = keep(candidates.join(tried, ["a", "b"], "left_anti"))
         more = keep(_verified(second, known, size, percent))
         final = components(edges.unionByName(more), keep)
         out = (sizes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
