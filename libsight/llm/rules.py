@@ -26,17 +26,12 @@ TESTED = ("mean_word", "symbol_share", "pipe_share", "bang_share", "capital_shar
           "repeat_share", "double_share", "distinct_share", "n_words")
 
 
-def _repeated_words(words: Column, n: Column) -> Column:
-    """Words in windows found twice or more in the text, first ones included.
-
-    Windows are compared as 64-bit hashes.  Only texts with equal hashes are looked at closely:
-    positions of equal windows, sorted, cover min(5, distance to the next) words each.
-    """
+def _window_hashes(words: Column, n: Column) -> Column:
+    """64-bit hashes of all windows of the text, in order."""
     zipped = F.arrays_zip(*[F.slice(words, i + 1, F.greatest(n, F.lit(1))).alias(str(i))
                             for i in range(WINDOW_WORDS)])
-    hashes = F.slice(F.transform(zipped, lambda w: F.xxhash64(w)), 1,
-                     F.greatest(n - (WINDOW_WORDS - 1), F.lit(0)))
-    return hashes
+    return F.slice(F.transform(zipped, lambda w: F.xxhash64(w)), 1,
+                   F.greatest(n - (WINDOW_WORDS - 1), F.lit(0)))
 
 
 def statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -51,10 +46,11 @@ def statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     df = documents.select(*[F.col(f"`{c}`") for c in keep], text_of().alias("_text"))
     df = df.withColumn("_words", F.array_remove(F.split("_text", GAP), ""))
     df = df.withColumn("n_words", F.size("_words").cast("bigint"))
-    df = df.withColumn("_hashes", _repeated_words(F.col("_words"), F.col("n_words").cast("int")))
+    df = df.withColumn("_hashes", _window_hashes(F.col("_words"), F.col("n_words").cast("int")))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
-    # (hash, position) sorted: equal neighbours are repeated windows
+    # only texts in which a hash occurs twice are looked at closely: (hash, position) sorted, equal
+    # neighbours are repeated windows, and each covers its words up to the next such window
     pairs = F.array_sort(F.arrays_zip(F.col("_hashes").alias("h"),
                                       F.sequence(F.lit(1), F.size("_hashes")).alias("p")))
     nothing = F.array().cast("array<int>")
