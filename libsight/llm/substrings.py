@@ -23,8 +23,6 @@ from libsight.llm.words import Block, blocks, signed
 from libsight.session import cut_lineage, ship
 
 LENGTH, SEED_WORDS = 35, 8
-#: Entries of a list of places that is broadcast to the texts; longer lists are joined by shuffle.
-BROADCAST_ENTRIES = 400_000
 
 
 def stretches(block: Block, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -57,24 +55,32 @@ def _keyed(documents: DataFrame, others: list[str]) -> DataFrame:
 
 
 def _places(keyed: DataFrame, length: int, seed: int) -> DataFrame:
-    """One row per stretch: ``seed, stretch, key, place`` with place = first word * 64 + windows."""
+    """One row per text and wording of a stretch: ``seed, stretch, key, place, more``.
+
+    place = first word * 64 + windows; ``more`` has the later places of the same wording in the
+    same text, so that a text that repeats itself over and over is not many rows of one seed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for block in blocks(batch.column(1)):
                 value, whole, text, begin, count = stretches(block, length, seed)
+                order = np.lexsort((begin, whole, text))
+                value, whole, text, begin, count = (x[order] for x in (value, whole, text, begin, count))
+                first = np.ones(len(text), bool)
+                first[1:] = (whole[1:] != whole[:-1]) | (text[1:] != text[:-1])
+                place = (begin - block.first[text]) * 64 + count
+                later = np.concatenate([[0], np.cumsum(~first)]).astype(np.int32)
+                at = np.flatnonzero(first)
+                more = pa.ListArray.from_arrays(pa.array(np.r_[later[at], later[-1]], pa.int32()),
+                                                pa.array(place[~first]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(value)), pa.array(signed(whole)), pa.array(keys[block.row + text]),
-                     pa.array((begin - block.first[text]) * 64 + count)],
-                    names=["seed", "stretch", "key", "place"])
+                    [pa.array(signed(value[at])), pa.array(signed(whole[at])),
+                     pa.array(keys[block.row + text[at]]), pa.array(place[at]), more],
+                    names=["seed", "stretch", "key", "place", "more"])
 
     return keyed.select("key", "text").mapInArrow(
-        run, "seed bigint, stretch bigint, key bigint, place bigint")
-
-
-def _fetch(keyed: DataFrame, lists: DataFrame, entries: int, how: str) -> DataFrame:
-    """Texts with their lists, joined on ``key``."""
-    return keyed.join(F.broadcast(lists) if entries <= BROADCAST_ENTRIES else lists, "key", how)
+        run, "seed bigint, stretch bigint, key bigint, place bigint, more array<bigint>")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -184,31 +190,28 @@ def _texts(block: Block, gone: np.ndarray, removed: np.ndarray) -> list[str]:
     return out
 
 
-def _found(keyed: DataFrame, keep: Scratch, length: int, seed: int) -> tuple[DataFrame, int]:
-    """Repeated windows of every document: ``key, found`` and the number of entries."""
+def _found(keyed: DataFrame, keep: Scratch, length: int, seed: int) -> DataFrame:
+    """Repeated windows of every document: ``key, place, mask`` (bit i: window i of the stretch)."""
     at_seed, at_stretch = Window.partitionBy("seed"), Window.partitionBy("seed", "stretch")
     met = keep(
-        _places(keyed, length, seed).repartition("seed")
-        .withColumn("_met", F.count("*").over(at_seed)).where("_met > 1")
-        .withColumn("_same", F.count("*").over(at_stretch))
+        _places(keyed, length, seed).repartition("seed").withColumn("_n", 1 + F.size("more"))
+        .withColumn("_met", F.sum("_n").over(at_seed)).where("_met > 1")
+        .withColumn("_same", F.sum("_n").over(at_stretch))
         .withColumn("_first", F.row_number().over(at_stretch.orderBy("key", "place")) == 1)
-        .select("key", "place", (F.col("_same") > 1).alias("sure"),
+        .select("key", "place", "more", (F.col("_same") > 1).alias("sure"),
                 (F.col("_first") & (F.col("_met") > F.col("_same"))).alias("compare")))
     # one stretch of each wording, where a seed has several
-    compare = met.where("compare")
-    lists = compare.groupBy("key").agg(F.collect_list(
+    lists = met.where("compare").groupBy("key").agg(F.collect_list(
         F.col("place") * 2 + F.col("sure").cast("int")).alias("places"))
-    entries = compare.count()
-    windows = (_windows(_fetch(keyed.select("key", "text"), lists, entries, "inner"), length)
+    windows = (_windows(keyed.select("key", "text").join(lists, "key"), length)
                .repartition("window")
                .withColumn("_met", F.count("*").over(Window.partitionBy("window")))
                .where("_met > 1 and not sure"))
     part = windows.groupBy("key", "place").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    whole = met.where("sure").select(
-        "key", "place", F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
-    spots = cut_lineage(whole.unionByName(part))
-    return spots, spots.count()
+    whole = met.where("sure").select("key", F.explode(F.concat(F.array("place"), "more")).alias("place"))
+    whole = whole.select("key", "place", F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
+    return cut_lineage(whole.unionByName(part))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS,
@@ -230,6 +233,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_
     others = [c for c in others if c not in taken]
     keyed = _keyed(documents, others)
     with Scratch(spark) as keep:
-        spots, entries = _found(keyed, keep, length, seed)
+        spots = _found(keyed, keep, length, seed)
     found = spots.groupBy("key").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
-    return _cut(_fetch(keyed, found, entries, "left"), others, length, with_text)
+    return _cut(keyed.join(found, "key", "left"), others, length, with_text)
