@@ -74,7 +74,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast hint for a table counted to have at most ``rows`` rows, else no hint.
 
-    The count stops at the limit, so it stays cheap whatever the table's size.
+    Over a plain scan the count stops at the limit.  Over an aggregate or a ``distinct()`` it
+    is computed in full, once more in the query; give it a checkpointed table there.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -86,11 +87,13 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     A key is hot when it has more than ``hot_rows`` rows, so there are at most
     ``rows / hot_rows`` of them and their table is safe to broadcast.  Rows of
     ``small`` are copied only for the hot keys.  Unlike run-time skew handling
-    this also holds when an aggregate on the same key follows.
+    this also holds when an aggregate on the same key follows.  Rows are spread by
+    a hash of their columns (maps have none), which a recomputed task repeats.
     """
     hot = (big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
            .select(*on, F.lit(True).alias("_hot")))
-    scatter = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(splits)).cast("int")
+    hashed = [F.col(f"`{f.name}`") for f in big.schema if "map<" not in f.dataType.simpleString()]
+    scatter = F.pmod(F.xxhash64(*hashed), F.lit(splits)).cast("int")
     left = (big.join(F.broadcast(hot), list(on), "left")
             .withColumn("_salt", F.when(F.col("_hot"), scatter).otherwise(F.lit(0)))
             .drop("_hot"))

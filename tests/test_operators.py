@@ -244,3 +244,20 @@ def test_alerts_after_a_baseline(spark, folder):
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
         state.writer(stream, jobs.alert_batches(f"{folder}/out", f"{folder}/state"), f"{folder}/c").start().awaitTermination()
     assert [r.finding_id for r in spark.read.parquet(f"{folder}/out").collect()] == ["c"]
+
+
+def test_contains_join_with_one_pattern_over_many_texts(spark):
+    rows = [(i, f" the and of {i % 7} zq{i % 3}x the and of") for i in range(300)]
+    texts = spark.createDataFrame(rows + rows[:5] + [(900, None), (901, "")], "i int, t string")
+    patterns = spark.createDataFrame([(1, " the and of 3 zq1x"), (1, " the and of 3 zq1x"), (2, "nowhere at all")], "j int, p string")
+    got = sorted((r.i, r.j) for r in contains_join(texts, "t", patterns, "p").collect())
+    want = sorted((i, j) for i, t in rows + rows[:5] for j, p in ((1, " the and of 3 zq1x"),) * 2 if p in t)
+    assert got == want
+
+
+def test_skew_join_of_equal_rows_and_map_columns(spark):
+    from libsight.functions.ordered import skew_join
+    big = spark.createDataFrame([("a", {"x": 1})] * 40 + [("b", {"y": 2})] * 2, "k string, m map<string,int>")
+    small = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    got = skew_join(big, small, ["k"], hot_rows=10, splits=4).groupBy("k", "v").count().collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1, 40), ("b", 2, 2)]
