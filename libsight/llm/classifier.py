@@ -157,16 +157,17 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: i
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, entries = [], 0
         for batch in batches:
+            # views of the batch: features are held once, as they came
             for label_, index, value in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 index = index.values.to_numpy()
                 if entries + len(index) > SAMPLE_ENTRIES:
                     break
                 entries += len(index)
-                docs.append((label_, index.copy(), value.values.to_numpy().astype(np.float64)))
+                docs.append((label_, index, value.values.to_numpy()))
         model = Ftrl(1 << bits)
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(len(docs)):
-                model.update(docs[i][1], docs[i][2], docs[i][0])
+                model.update(docs[i][1], docs[i][2].astype(np.float64), docs[i][0])
         weights = model.weights(slice(None)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()])], names=["weights"])
 
@@ -187,21 +188,24 @@ def score(documents: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("d
     ship(documents.sparkSession)
     keep = tuple(c for c in keep if c not in ("score", "predicted"))
     bits = int(np.log2(len(weights)))
-    slim = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]]
+    # a kept text is sent once; else it comes last and stays behind
+    slim = documents.select(*[F.col(f"`{c}`") for c in keep],
+                            *([] if "text" in keep else [F.col("text").cast("string")]))
+    at = slim.columns.index("text")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:len(keep)]]
                        + ["score double, predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for block in blocks(batch.column(batch.num_columns - 1), kind=TokenBlock):
+            for block in blocks(batch.column(at), kind=TokenBlock):
                 index, value, owner = features(block, bits)
                 parts.append(np.bincount(owner, weights[index].astype(np.float64) * value, len(block)))
             total = np.concatenate(parts) if parts else np.zeros(0)
             scores = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "score", "predicted"])
+                [*batch.columns[:len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
+                names=[*batch.schema.names[:len(keep)], "score", "predicted"])
 
     return slim.mapInArrow(run, schema)
 

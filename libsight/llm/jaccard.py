@@ -89,8 +89,7 @@ def _profile(documents: DataFrame, size: int) -> DataFrame:
             any_ = True
             for block in blocks(batch.column(1), lower=True):
                 h, _, sizes = shingle_sets(block, size)
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                      minlength=width).astype(np.uint32)
+                np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 k1, k2 = set_keys(h, sizes)
                 none = pa.nulls(len(block), pa.int32()), pa.nulls(len(block), pa.binary())
                 yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
