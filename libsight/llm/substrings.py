@@ -136,8 +136,11 @@ def _cut(texts: DataFrame, others: list[str], length: int, with_text: bool) -> D
                 for i in np.flatnonzero(pa.compute.is_valid(found.slice(block.row, len(block)))
                                         .to_numpy(zero_copy_only=False)):
                     entry = found[block.row + int(i)].values
+                    places = entry.field("places")
+                    masks = np.repeat(entry.field("mask").to_numpy(),
+                                      pa.compute.list_value_length(places).to_numpy())
                     gone[block.first[i]:block.first[i + 1]] = covered_words(
-                        n[i], entry.field("place").to_numpy(), entry.field("mask").to_numpy(), length)
+                        n[i], places.flatten().to_numpy(), masks, length)
                 text = np.repeat(np.arange(len(n)), n)
                 edges = gone.copy()
                 edges[1:] &= ~(gone[:-1] & (text[1:] == text[:-1]))
@@ -191,7 +194,7 @@ def _texts(block: Block, gone: np.ndarray, removed: np.ndarray) -> list[str]:
 
 
 def _found(keyed: DataFrame, keep: Scratch, length: int, seed: int) -> DataFrame:
-    """Repeated windows of every document: ``key, place, mask`` (bit i: window i of the stretch)."""
+    """Repeated windows of every document: ``key, places, mask`` (bit i: window i of each)."""
     at_seed, at_stretch = Window.partitionBy("seed"), Window.partitionBy("seed", "stretch")
     met = keep(
         _places(keyed, length, seed).repartition("seed").withColumn("_n", 1 + F.size("more"))
@@ -209,9 +212,10 @@ def _found(keyed: DataFrame, keep: Scratch, length: int, seed: int) -> DataFrame
                .where("_met > 1 and not sure"))
     part = windows.groupBy("key", "place").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    whole = met.where("sure").select("key", F.explode(F.concat(F.array("place"), "more")).alias("place"))
-    whole = whole.select("key", "place", F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
-    return cut_lineage(whole.unionByName(part))
+    # the later places of a wording have as many windows as the first
+    whole = met.where("sure").select("key", F.concat(F.array("place"), "more").alias("places"),
+                                     F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
+    return cut_lineage(whole.unionByName(part.select("key", F.array("place").alias("places"), "mask")))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_WORDS,
@@ -234,5 +238,5 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_
     keyed = _keyed(documents, others)
     with Scratch(spark) as keep:
         spots = _found(keyed, keep, length, seed)
-    found = spots.groupBy("key").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
+    found = spots.groupBy("key").agg(F.collect_list(F.struct("places", "mask")).alias("found"))
     return _cut(keyed.join(found, "key", "left"), others, length, with_text)
