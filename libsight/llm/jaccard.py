@@ -5,7 +5,8 @@ shingles first (a count sketch of the whole corpus says what is frequent).  Two
 n and m and Jaccard t or more share o = ceil(t (n + m) / (1 + t)) shingles, hence, for every
 k, at least k among the first n - o + k of the one and m - o + k of the other.  Each document
 picks the k at which scanning its longer prefix and verifying its fewer candidates are
-estimated to cost least; a pair is verified if it shares the smaller k of the two.
+estimated to cost least; a pair is verified if it shares the smaller k of the two, or o if
+that is less.
 
 Links are wanted as components, so a list of documents that share a shingle is first tied
 to one centre, the document in which the fewest rarer shingles precede it: each document is
@@ -282,7 +283,8 @@ def join_similar(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
         left, right = (entries.select("token", *[F.col(c).alias(f"{s}{c}") for c in
                                                  ("doc", "n", "rank", "comp", "k", "outside")])
                        for s in ("a_", "b_"))
-        k = F.least("a_k", "b_k")
+        # a pair of small sets need not share more than its overlap
+        k = F.least("a_k", "b_k", overlap("a_n", "b_n"))
         candidates = (left.where("a_outside").join(right, "token")
                       .where("a_comp <> b_comp and (not b_outside or a_doc < b_doc)")
                       .where(within("a_", "b_", k))

@@ -398,6 +398,22 @@ def test_jaccard_chains_bridges_and_low_thresholds(spark):
         assert got == brute_components(texts, size, percent)
 
 
+def test_jaccard_links_short_crops(spark):
+    """Crops of 8 to 12 words, many per base text: linked sets share fewer shingles than the widest step."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for _ in range(60):
+        base = [rng.choice(vocab) for _ in range(40)]
+        for _ in range(20):
+            n = rng.randint(8, 12)
+            at = rng.randint(0, 40 - n)
+            texts[len(texts)] = " ".join(base[at:at + n])
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_similar(df).collect()}
+    assert got == brute_components(texts)
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (7, "G h i j k l"), (9, None)],
                                "doc_id bigint, text string")
