@@ -4,11 +4,14 @@ Pages of a host are ordered by URL path; each is paired with the neighbour whose
 the longer beginning.  The text lines of both pages are aligned by longest common subsequence,
 and lines they share are deleted as boilerplate.  What markup declares is heeded first: menus,
 footers, adverts, forms, comments and the like never become lines, and prose inside a declared
-article stays even if a neighbour repeats it, since pages may be copies of one another.
+article stays even if a neighbour repeats it, since pages may be copies of one another.  Without
+a declared article, shared lines that stand on many different pages of the host are boilerplate;
+of the others, those of a page that mostly repeats its neighbour are prose.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -17,8 +20,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from libsight.functions.ordered import broadcast_if_small, skew_join
 from libsight.llm.neighbours import deal
-from libsight.session import ship
+from libsight.llm.scratch import Scratch
+from libsight.session import cut_lineage, ship
 
 # Elements by role, and words in class, id or role that mark boilerplate.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object",
@@ -39,6 +44,9 @@ MARKED = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertisi
           "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor",
           "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 
+#: A line on more different pages of a host than this is boilerplate.
+FEW_PAGES = 2
+
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
@@ -216,17 +224,21 @@ def _lengths(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's lines that stay, joined by one space."""
+def main_text(page: list[Line], neighbour: list[Line] | None, common: frozenset[int] = frozenset()) -> str:
+    """The page's lines that stay, joined by one space.
+
+    ``common``: numbers of the lines that stand on many different pages of the host.
+    """
     repeated = (shared([hash(x.text) for x in page], [hash(x.text) for x in neighbour])
                 if neighbour else [False] * len(page))
     article = any(x.article for x in page)
-    length = sum(len(x.text) for x in page)
-    # a page that mostly repeats its neighbour is a copy: its prose is no boilerplate
-    copy = 2 * sum(len(x.text) for x, r in zip(page, repeated) if r) > length
+    boilerplate = [r and not article and i in common for i, r in enumerate(repeated)]
+    # a page that mostly repeats its neighbour in what few pages have is a copy: that is prose
+    rest = [(len(x.text), r) for x, r, b in zip(page, repeated, boilerplate) if not b]
+    copy = 2 * sum(n for n, r in rest if r) > sum(n for n, _ in rest)
     kept = []
-    for x, again in zip(page, repeated):
-        if article and not x.article:
+    for x, again, gone in zip(page, repeated, boilerplate):
+        if gone or (article and not x.article):
             continue
         if again and (x.links > 0.5 or not (article or copy)):
             continue
@@ -234,6 +246,53 @@ def main_text(page: list[Line], neighbour: list[Line] | None) -> str:
     return " ".join(kept)
 
 
+def _host_lines(rows: DataFrame, plain: bool) -> DataFrame:
+    """``page, at, line, version`` of every line of every page, or of those without an article.
+
+    ``line`` names a wording on a host, ``version`` all the page's lines.
+    """
+    def key(*parts: str) -> int:
+        return int.from_bytes(hashlib.blake2b("\n".join(parts).encode("utf-8", "replace"), digest_size=8).digest(),
+                              "big", signed=True)
+
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page, host, source in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = lines_of(source)
+                if plain and any(x.article for x in lines):
+                    continue
+                version = key(*[x.text for x in lines])
+                out += [(page, at, key(host, x.text), version) for at, x in enumerate(lines)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                                 names=["page", "at", "line", "version"])
+
+    return rows.select("page", "host", "html").mapInArrow(run, "page bigint, at int, line bigint, version bigint")
+
+
+def _joined(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    few = broadcast_if_small(small)
+    return big.join(few, on, how) if few is not small else skew_join(big, small, [on], how)
+
+
+def _with_common(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``common``: which lines of a page without an article many pages of its host have."""
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
+    none = F.array().cast("array<int>")
+    with Scratch(rows.sparkSession) as keep:
+        plain = keep(_host_lines(rows, True).select("page", "at", "line"))
+        if not plain.limit(1).count():
+            return rows.withColumn("common", none)
+        many = keep(_host_lines(rows, False).select("line", "version").distinct()
+                    .groupBy("line").count().where(F.col("count") > FEW_PAGES).select("line"))
+        marks = cut_lineage(_joined(plain, many, "line", "inner")
+                            .groupBy("page").agg(F.collect_set("at").alias("common")))
+    return _joined(rows, marks, "page", "left").withColumn("common", F.coalesce("common", none))
+
+
 def _common(a: str, b: str) -> int:
     n = min(len(a), len(b))
     for i in range(n):
@@ -249,6 +308,9 @@ def extract(pages: DataFrame) -> DataFrame:
     empty text.  A null url has an empty host and path.  Pages of equal host and path are ordered
     by page_id, then by a hash of the html; a page alone on its host has no neighbour.  Repeated
     rows are pages of their own.  A host with very many pages is spread over ordered ranges.
+    On pages without an article, lines that more than FEW_PAGES different pages of the host have
+    (pages of equal lines count once) go wherever the neighbour shares them; of the other shared
+    lines, all go, or none but link lists if they are most of what is left.
     Empty input: no rows.
     """
     spark = ship(pages.sparkSession)
@@ -260,7 +322,7 @@ def extract(pages: DataFrame) -> DataFrame:
     key = F.concat_ws(" ", "host", "path")
     order = [F.col("key"), F.coalesce("page_id", F.lit((1 << 63) - 1)), F.xxhash64("html", "url")]
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = deal(rows, key, order, ["page_id", "url", "html", "host", "path"], ranges, before=True)
+    dealt = deal(_with_common(rows), key, order, ["page_id", "url", "html", "host", "path", "common"], ranges, before=True)
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
         def finish(before: tuple | None, page: tuple, after: tuple | None) -> tuple:
             near = [p for p in (before, after) if p and p[0] == page[0] and p[4] == page[4]]
             near.sort(key=lambda p: -_common(p[5], page[5]))  # stable: the one before on ties
-            text = main_text(page[6], near[0][6] if near else None)
+            text = main_text(page[6], near[0][6] if near else None, page[7])
             return page[2], page[3], text, len(text)
 
         def pack(out: list[tuple]) -> pa.RecordBatch:
@@ -278,8 +340,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for place, own, page_id, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns)):
-                page = (place, own, page_id, url, host, path, lines_of(source))
+            for place, own, page_id, url, source, host, path, common in zip(*(c.to_pylist() for c in batch.columns)):
+                page = (place, own, page_id, url, host, path, lines_of(source), frozenset(common))
                 if now and now[1]:
                     out.append(finish(last, now, page))
                 last, now = now, page

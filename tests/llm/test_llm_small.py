@@ -280,6 +280,23 @@ def test_differencing_deletes_shared_lines(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_boilerplate_of_a_host_goes_from_short_pages(spark, monkeypatch):
+    """Unmarked notices longer than the text, and two copies of one text under them."""
+    notices = ["Notice of the host, one of three, that every page of it carries " + "x" * 36 + str(i) for i in range(3)]
+
+    def plain(*lines):
+        return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+    own = {i: f"text number {i} " + chr(97 + i) * 180 for i in range(6)}
+    rows = [(i, f"http://h.example/a/{i}", plain(*notices[:2], t, notices[2])) for i, t in own.items()]
+    copied = "prose that two pages share " + "p" * 150
+    rows += [(10 + i, f"http://h.example/b/{i}", plain(*notices[:2], copied, f"seen {i} times", notices[2])) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = own | {10: copied + " seen 0 times", 11: copied + " seen 1 times"}
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+    monkeypatch.setattr(pages, "broadcast_if_small", lambda table: table)  # as for large tables
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+
+
 def test_shared_is_a_longest_common_subsequence(monkeypatch):
     rng = random.Random(3)
     for _ in range(400):
