@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from libsight.llm import (
-    chat, classifier, fingerprint, jaccard, mixing, packing, pages, rules, substrings,
-    tokens)
+    audit, chat, classifier, fingerprint, jaccard, mixing, packing, pages, pivots, resample,
+    rules, substrings, tokens)
 from libsight.llm.oracles import ORACLES  # noqa: F401
 from libsight.session import ship
 
@@ -89,3 +89,19 @@ def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op5_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(_table(spark, folder, "pages"))
+
+
+@_query
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.divergence(_table(spark, folder, "documents"))
+
+
+@_query
+def op13_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, folder, "embeddings"))
