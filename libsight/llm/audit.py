@@ -26,7 +26,7 @@ from libsight.llm.words import blocks
 from libsight.session import ship
 
 #: Cells a counting task gathers before it sends them on, and cells of a block of the index.
-GATHERED, BLOCK_CELLS = 200_000, 100_000
+GATHERED, BLOCK_CELLS = 400_000, 100_000
 #: Rate of a term that makes up a whole group.
 WHOLE = 1_000_000_000
 #: Entries of one matrix of rates by peers.
@@ -131,36 +131,39 @@ def _shared(cells: DataFrame) -> DataFrame:
         a, b, value = scatter(term, *[table[c].to_numpy() for c in ("number", "p", "zero")])
         return pa.table({"lang": pa.repeat(table["lang"][0], len(a)), "a": a, "b": b, "value": value})
 
-    return cells.groupBy("lang", "block").applyInArrow(block, "lang string, a bigint, b bigint, value bigint")
+    # dealt by block as well: a language's cells must not stay together
+    return cells.repartition("lang", "block").groupBy("lang", "block").applyInArrow(block, "lang string, a bigint, b bigint, value bigint")
 
 
 def _baselines(rates: DataFrame) -> DataFrame:
-    """``lang, a, b, value``: for each group and peer, f(p, peer's zero) - f(zeros) over its own terms.
+    """``lang, a, b, value`` for each group and peer, the group's side of a pair without shared terms.
 
-    A row of ``rates`` is a group: ``lang, number, zero, own`` (its distinct rates, with how many
-    terms have each) and ``peers`` (number and zero of every group of the language).
+    That is f(p, peer's zero) - f(zeros) over the group's own terms; for the group of the lower number
+    f(zeros) over all kept terms as well.  A row of ``rates`` is a group: ``lang, terms, number, zero``,
+    ``own`` (its distinct rates, with how many terms have each) and ``peers`` (number and zero of
+    every group of the language).
     """
     def sums(batches: Batches) -> Batches:
         for batch in batches:
             for row in range(batch.num_rows):
-                lang, number, zero, own, peers = (c[row] for c in batch.columns)
-                number, zero = number.as_py(), zero.as_py()
-                p, n = (own.values.field(i).to_numpy() for i in (0, 1))
+                lang, terms, number, zero, own, peers = (c[row] for c in batch.columns)
+                terms, number, zero = terms.as_py(), number.as_py(), zero.as_py()
                 to, base = (peers.values.field(i).to_numpy() for i in (0, 1))
-                total = np.zeros(len(to), dtype=np.int64)
-                per = max(1, MATRIX // max(1, len(to)))
-                for at in range(0, len(p), per):
-                    part = _diff(p[at:at + per, None], base[None, :]) * n[at:at + per, None]
-                    total += part.sum(axis=0)
-                total -= _diff(np.int64(zero), base) * n.sum()
                 other = to != number
+                to, base = to[other], base[other]
+                total = np.zeros(len(to), dtype=np.int64)
+                if terms:
+                    p, n = (own.values.field(i).to_numpy() for i in (0, 1))
+                    per = max(1, MATRIX // max(1, len(to)))
+                    for at in range(0, len(p), per):
+                        total += (_diff(p[at:at + per, None], base[None, :]) * n[at:at + per, None]).sum(axis=0)
+                    total += _diff(np.int64(zero), base) * (np.where(to > number, terms, 0) - n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, int(other.sum())), pa.array(np.minimum(number, to[other])),
-                     pa.array(np.maximum(number, to[other])), pa.array(total[other])],
-                    names=["lang", "a", "b", "value"])
+                    [pa.repeat(lang, len(to)), pa.array(np.minimum(number, to)), pa.array(np.maximum(number, to)),
+                     pa.array(total)], names=["lang", "a", "b", "value"])
 
-    return rates.select("lang", "number", "zero", "own", "peers").mapInArrow(
-        sums, "lang string, a bigint, b bigint, value bigint")
+    return (rates.select("lang", "terms", "number", "zero", "own", "peers").repartition("lang", "number")
+            .mapInArrow(sums, "lang string, a bigint, b bigint, value bigint"))
 
 
 def divergence(documents: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
@@ -204,15 +207,10 @@ def divergence(documents: DataFrame, least_docs: int = 10, top: int = 10) -> Dat
         same_rate = rated.groupBy("lang", "number", "p").agg(F.count("*").alias("n"))
         own = same_rate.groupBy("lang", "number").agg(F.collect_list(F.struct("p", "n")).alias("own"))
         peers = groups.groupBy("lang").agg(F.collect_list(F.struct("number", "zero")).alias("peers"))
-        bare = groups.select("lang", "number", "zero", "terms")
-        baselines = _baselines(bare.join(own, ["lang", "number"]).join(peers, "lang"))
-        # what two groups differ by at terms that neither has
-        left, right = (bare.select("lang", F.col("number").alias(x), F.col("zero").alias(f"zero_{x}"), "terms")
-                       for x in ("a", "b"))
-        empty = (left.join(right.drop("terms"), "lang").where("a < b")
-                 .select("lang", "a", "b", F.when(F.col("terms") > 0, F.col("terms") * difference(
-                     F.col("zero_a"), F.col("zero_b"))).otherwise(nothing).alias("value")))
-        pairs = keep(_shared(blocked).unionByName(baselines).unionByName(empty)
+        nothing_own = F.array().cast("array<struct<p:bigint,n:bigint>>")
+        baselines = _baselines(groups.select("lang", "terms", "number", "zero").join(own, ["lang", "number"], "left")
+                               .withColumn("own", F.coalesce("own", nothing_own)).join(peers, "lang"))
+        pairs = keep(_shared(blocked).unionByName(baselines)
                      .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
 
         both = pairs.unionByName(pairs.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
