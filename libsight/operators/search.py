@@ -11,11 +11,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from libsight.functions import text as tx, vectors
 from libsight.functions.ordered import broadcast_if_small, top_per_group
 from libsight.functions.substring import contains_join
+from libsight.operators import scoring
+from libsight.session import cut_lineage
 
 K1 = 1.4
 B = 0.72
@@ -257,9 +260,59 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
     """Search without vectors: the lexical score alone.
 
     The best score of a query is that of its first hit, so the share is taken
-    after the selection.
+    after the selection.  Query sets whose weights fit a matrix are scored by products over
+    batches of chunks, larger ones by a join on the token.
     """
-    return _share_of_best(diverse_top(_raw_scores(queries, chunks, pool), k), ["query_id"])
+    wanted = cut_lineage(query_tokens(queries))
+    if scoring.Weights.fits(wanted):
+        best = diverse_top(_array_scores(wanted, chunks, k, PER_ITEM, pool), k)
+    else:
+        best = diverse_top(_raw_scores(queries, chunks, pool), k)
+    return _share_of_best(best, ["query_id"])
+
+
+def _weighted(wanted: DataFrame, chunks: DataFrame, carry: tuple[str, ...] = ()
+              ) -> tuple[DataFrame, scoring.Weights, np.ndarray]:
+    """Encoded chunks, the queries' weights, and the weights' column of every encoded id."""
+    rows = [tuple(r) for r in wanted.select("query_id", "token").collect()]  # at most MATRIX, counted before
+    tokens = sorted({t for _, t in rows})
+    encoded = scoring.encode(chunks, tokens, carry)
+    weights = scoring.weights_of(encoded, rows, tokens)
+    column = {t: i for i, t in enumerate(weights.tokens)}
+    return encoded, weights, np.array([column.get(t, -1) for t in tokens], dtype=np.int64)
+
+
+def _in_pool(chunks: DataFrame, pool: DataFrame | None) -> DataFrame:
+    return chunks if pool is None else chunks.join(pool.select("item_key").distinct(), "item_key", "left_semi")
+
+
+def _array_scores(wanted: DataFrame, chunks: DataFrame, k: int, per_item: int, pool: DataFrame | None) -> DataFrame:
+    """``query_id, chunk_id, item_key, score`` of rows that can still win, by task."""
+    encoded, weights, place = _weighted(wanted, chunks)
+    rows = _in_pool(encoded, pool).select("chunk_id", "item_key", "length", "ids", "tfs")
+    return _winning_rows(rows, wanted, weights, place, k, per_item)
+
+
+def _winning_rows(rows: DataFrame, wanted: DataFrame, weights: scoring.Weights, place: np.ndarray, k: int,
+                 per_item: int) -> DataFrame:
+    """The pass over encoded chunks: every row scored, the winners of each task kept."""
+    out = T.StructType([wanted.schema["query_id"], rows.schema["chunk_id"], rows.schema["item_key"],
+                        T.StructField("score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = scoring.Winners(len(weights.ids), k, per_item)
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema
+            for at in range(0, batch.num_rows, scoring.ROWS):
+                cells = scoring.cells_of(batch, at, weights, place, K1, B)
+                part = batch.slice(at, scoring.ROWS)
+                best.offer(weights.scores(*cells), part.column("item_key").to_pylist(),
+                           part.column("chunk_id").to_pylist())
+        if kinds is not None:
+            yield from best.batches(weights.ids, kinds)
+
+    return rows.mapInArrow(score, out)
 
 
 def _cosines(matrix: np.ndarray, queries: np.ndarray) -> np.ndarray:
