@@ -6,12 +6,14 @@ Chunks: ``chunk_id, item_key, page, text`` and optionally ``vector``.  Postings:
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from libsight.functions import text as tx, vectors
@@ -349,17 +351,12 @@ def vector_search(chunks: DataFrame, query_vectors: DataFrame, lexical: DataFram
     A batch never drops a winner: rows ahead of it within the batch are also
     ahead of it overall.
 
-    Query vectors travel in blocks of ``QUERY_BLOCK``, so a task holds a bounded
-    block whatever the number of queries; more queries mean more passes.
+    Query vectors travel in blocks of at most ``QUERY_BLOCK`` rows, so driver and tasks
+    hold a bounded block whatever the number of queries; more queries mean more passes.
     """
-    count = query_vectors.count()
-    blocks = -(-count // QUERY_BLOCK)
-    if blocks <= 1:
-        return diverse_top(_scored_block(chunks, query_vectors, lexical, k, per_item), k, per_item)
-    numbered = query_vectors.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    blocks = query_blocks(query_vectors)
     scored = None
-    for block in range(blocks):
-        some = numbered.where(F.col("_block") == block).drop("_block")
+    for some in blocks:
         lex = None if lexical is None else lexical.join(
             some.select("query_id"), "query_id", "left_semi")
         part = _scored_block(chunks, some, lex, k, per_item)
@@ -367,6 +364,30 @@ def vector_search(chunks: DataFrame, query_vectors: DataFrame, lexical: DataFram
     return diverse_top(scored, k, per_item)
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of at most ``QUERY_BLOCK`` rows each; one block, perhaps empty, at least."""
+    numbered = cut_lineage(queries.withColumn("_n", F.monotonically_increasing_id()))
+    # rows are numbered within partitions, so no block is larger
+    part = F.shiftright("_n", 33).alias("part"), F.floor(F.col("_n").bitwiseAND((1 << 33) - 1) / QUERY_BLOCK).alias("at")
+    sizes = numbered.select(*part).groupBy("part", "at").count().orderBy("part", "at").collect()
+    joined: list[list[tuple]] = [[]]
+    held = 0
+    for p, at, n in sizes:
+        if held + n > QUERY_BLOCK:
+            joined.append([])
+            held = 0
+        joined[-1].append((p, at))
+        held += n
+    out = []
+    for group in joined:
+        inside = F.lit(False)
+        for p, at in group:
+            start = (p << 33) + at * QUERY_BLOCK
+            inside = inside | F.col("_n").between(start, start + QUERY_BLOCK - 1)
+        out.append(numbered.where(inside).drop("_n"))
+    return out
+
+
 def _scored_block(chunks: DataFrame, query_vectors: DataFrame, lexical: DataFrame | None,
                   k: int, per_item: int) -> DataFrame:
     rows = query_vectors.select("query_id", "qv").orderBy("query_id").collect()
@@ -426,10 +447,61 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K,
         return fallback_search(queries, items, k, columns)
     if "qv" not in queries.columns or "vector" not in chunks.columns:
         return lexical_search(queries, chunks, k, pool)
+    parts = [_hybrid_block(some, chunks, k, pool) for some in query_blocks(queries.select("query_id", "query", "qv"))]
+    if all(part is not None for part in parts):
+        return diverse_top(functools.reduce(DataFrame.unionByName, parts), k)
     lexical = lexical_scores(queries, chunks, pool)
-    narrowed = chunks if pool is None else chunks.join(
-        pool.select("item_key").distinct(), "item_key", "left_semi")
-    return vector_search(narrowed, queries.select("query_id", "qv"), lexical, k)
+    return vector_search(_in_pool(chunks, pool), queries.select("query_id", "qv"), lexical, k)
+
+
+def _hybrid_block(queries: DataFrame, chunks: DataFrame, k: int, pool: DataFrame | None) -> DataFrame | None:
+    """Rows that can still win by both scores, for a block of queries; None if its weights fit no matrix.
+
+    Chunks are encoded once; one pass finds each query's best lexical score, one scores everything
+    where the chunk lies, so nothing is shuffled by chunk.
+    """
+    wanted = cut_lineage(query_tokens(queries))
+    if not scoring.Weights.fits(wanted):
+        return None
+    encoded, weights, place = _weighted(wanted, chunks, ("vector",))
+    rows = _in_pool(encoded, pool)
+    best = {r["query_id"]: r["best"] for r in _winning_rows(
+        rows.select("chunk_id", "item_key", "length", "ids", "tfs"), wanted, weights, place, 1, 1)
+        .groupBy("query_id").agg(F.max("score").alias("best")).collect()}  # one row per query of the block
+    asked = {r["query_id"]: r["qv"] for r in queries.select("query_id", "qv").collect()}
+    ids = sorted(asked)
+    line = {q: i for i, q in enumerate(weights.ids)}
+    lexical_line = np.array([line.get(q, -1) for q in ids])
+    scale = np.array([1 / best[q] if best.get(q) else 0.0 for q in ids])
+    stacked = np.array([asked[q] for q in ids], dtype=np.float64)
+    out = T.StructType([queries.schema["query_id"], rows.schema["chunk_id"], rows.schema["item_key"],
+                        *[T.StructField(c, T.DoubleType()) for c in ("score", "lexical", "semantic")]])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, kinds = scoring.Winners(len(ids), k, PER_ITEM, MIN_SCORE), None
+        for batch in batches:
+            kinds = batch.schema
+            for at in range(0, batch.num_rows, scoring.ROWS):
+                cells = scoring.cells_of(batch, at, weights, place, K1, B)
+                part = batch.slice(at, scoring.ROWS)
+                lexical = np.zeros((len(ids), part.num_rows))
+                if weights.ids:
+                    lexical[lexical_line >= 0] = weights.scores(*cells)[lexical_line[lexical_line >= 0]]
+                lexical *= scale[:, None]
+                semantic = np.zeros_like(lexical)
+                sizes = pc.fill_null(pc.list_value_length(part.column("vector")), 0).to_numpy()
+                for size in set(sizes.tolist()) - {0}:
+                    where = np.flatnonzero(sizes == size)
+                    matrix = part.column("vector").take(pa.array(where)).flatten().to_numpy(
+                        zero_copy_only=False).astype(np.float64).reshape(len(where), size)
+                    semantic[:, where] = ((_cosines(matrix, stacked) + 1) / 2).T
+                top.offer(SEMANTIC_WEIGHT * semantic + LEXICAL_WEIGHT * lexical,
+                          part.column("item_key").to_pylist(), part.column("chunk_id").to_pylist(),
+                          more=lambda q, i, lexical=lexical, semantic=semantic: (lexical[q, i], semantic[q, i]))
+        if kinds is not None:
+            yield from top.batches(ids, kinds)
+
+    return rows.select("chunk_id", "item_key", "vector", "length", "ids", "tfs").mapInArrow(score, out)
 
 
 def fallback_search(queries: DataFrame, items: DataFrame, k: int = TOP_K,

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import contextlib
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from libsight.functions import text as tx, vectors
-from libsight.operators import context, review, search, watch
+from libsight.operators import cells, context, review, search, store, watch
 from libsight.plans.registry import Tables, query
+from libsight.session import checkpoint_dir, cut_lineage
 
 TODAY = "2024-01-30"
 
@@ -147,6 +152,55 @@ def index_stats(t: Tables) -> DataFrame:
     return search.index_stats(_vector_chunks(t))
 
 
+@contextlib.contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder that all executors reach, deleted at the end; results must not read it later."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _revised(t: Tables, path: str) -> store.Store:
+    """The corpus, with some items replaced and some removed after it was stored."""
+    kept = store.Store(t.spark, path)
+    kept.upsert(t.corpus)
+    kept.upsert(t.corpus.where("item_key % 7 = 3").withColumn("text", F.concat("text", F.lit(" added later"))))
+    kept.remove(t.corpus.where("item_key % 7 = 5").select("item_key"))
+    return kept
+
+
+REVISED = """revised AS (SELECT chunk_id, item_key, CASE WHEN item_key % 7 = 3 THEN text || ' added later' ELSE text END AS text
+  FROM corpus WHERE item_key % 7 <> 5)"""
+
+
+@query("WITH " + REVISED + ", " + BM25.replace("FROM corpus", "FROM revised")[5:] + ", scored AS (SELECT *, lexical AS score FROM lexical WHERE lexical > 0.001)" + TOP +
+       "SELECT query_id, chunk_id, item_key, CAST(position AS INT) AS position, round(score, 6) AS score FROM best WHERE position <= 8")
+def stored_search(t: Tables) -> DataFrame:
+    with shared_folder(t.spark) as path:
+        hits = _revised(t, path).search(t.search_queries)
+        return cut_lineage(hits.select("query_id", "chunk_id", "item_key", "position", F.round("score", 6).alias("score")))
+
+
+@query("WITH " + REVISED + ", " + TOKENISED.replace("FROM corpus", "FROM revised")[5:] + """
+SELECT token, df, n AS chunks, (SELECT count(DISTINCT item_key) FROM revised) AS items, round(al, 6) AS avg_length FROM freq, stats""")
+def stored_figures(t: Tables) -> DataFrame:
+    with shared_folder(t.spark) as path:
+        kept = _revised(t, path)
+        figures = kept.figures().select("chunks", "items", F.round(F.col("length") / F.col("chunks"), 6).alias("avg_length"))
+        return cut_lineage(kept.document_frequency().join(F.broadcast(figures)))
+
+
+@query("WITH " + REVISED + " SELECT chunk_id, item_key, text FROM revised")
+def stored_chunks(t: Tables) -> DataFrame:
+    with shared_folder(t.spark) as path:
+        kept = _revised(t, path)
+        kept.compact()
+        return cut_lineage(kept.chunks())
+
+
 @query(BM25 + "SELECT query_id, chunk_id, round(lexical, 6) AS lexical FROM lexical")
 def bm25_scores(t: Tables) -> DataFrame:
     scores = search.lexical_scores(t.search_queries, t.corpus)
@@ -190,6 +244,19 @@ def semantic_search(t: Tables) -> DataFrame:
     return hits.select("query_id", "chunk_id", "position", F.round("score", 6).alias("score"))
 
 
+@query("WITH " + CENTROIDS + f"""SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, CAST(position AS INT) AS position, round(score, 6) AS score FROM (
+  SELECT c.query_id, vec_id AS chunk_id, 0.62::DOUBLE * ({COSINE} + 1) / 2 AS score,
+    row_number() OVER (PARTITION BY c.query_id ORDER BY {COSINE} DESC, vec_id) AS position
+  FROM embeddings e, centroid c) x WHERE position <= 8""")
+def cell_search(t: Tables) -> DataFrame:
+    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("item_key"),
+                                 F.col("embedding").alias("vector"))
+    with shared_folder(t.spark) as path:
+        cells.build(chunks, path)
+        hits = cells.search_cells(t.spark, path, _query_vectors(t))
+        return cut_lineage(hits.select("query_id", "chunk_id", "position", F.round("score", 6).alias("score")))
+
+
 @query(BM25 + ", " + CENTROIDS + f""", sem AS (
   SELECT c.query_id, vec_id AS chunk_id, ({COSINE} + 1) / 2 AS semantic FROM embeddings e, centroid c),
 scored AS (SELECT c.query_id, k.chunk_id, k.item_key,
