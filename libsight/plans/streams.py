@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from libsight.plans.reading import CAP, CLOCK, TODAY, _credits
 from libsight.plans.registry import Tables, query
 from libsight.session import checkpoint_dir, cut_lineage
-from libsight.streaming import clock, jobs, state
+from libsight.streaming import clock, jobs, keyed, state
 
 
 def _two_runs(rows: DataFrame, first: F.Column, job) -> DataFrame:
@@ -26,6 +26,25 @@ def _two_runs(rows: DataFrame, first: F.Column, job) -> DataFrame:
     return out
 
 
+def _kept_run(rows: DataFrame, first: F.Column, streamed) -> DataFrame:
+    """What the streaming DataFrame ``streamed(rows)`` appends when ``rows`` arrive in two parts.
+
+    State lives in the state store; the query is stopped and resumed between the parts.
+    """
+    spark = rows.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    keyed.use_state_store(spark)
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = streamed(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        (stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    out = cut_lineage(spark.read.schema(stream.schema).parquet(f"{base}/out"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 #: Half way through the events' days; as SQL and as a condition on a day column.
 HALF = "(SELECT min(CAST(ts AS DATE)) + CAST((max(CAST(ts AS DATE)) - min(CAST(ts AS DATE))) // 2 AS INT) FROM events)"
 
@@ -72,3 +91,42 @@ def stream_alerts(t: Tables) -> DataFrame:
     done = _two_runs(found, _early(t, F.to_date("seen_at")), lambda base: jobs.alert_batches(
         f"{base}/out", f"{base}/state", memory=1_000_000_000))
     return done.select("watch_id", "finding_id")
+
+
+@query(f"""SELECT annotation_key AS card_key, item_key, CAST(DATE '{TODAY}' + 1 AS VARCHAR) AS due
+FROM annotations WHERE length(text || ' ' || text) >= 25 AND annotation_key % 11 <> 0""")
+def stream_enrol_keyed(t: Tables) -> DataFrame:
+    marks = t.annotations.withColumns({"comment": F.concat_ws(" ", "text", "text"), "text": F.lit("")})
+    again = marks.where("annotation_key % 3 = 0").withColumn("part", F.lit(2))
+    fed = marks.withColumn("part", F.when(F.col("annotation_key") % 2 == 0, 2).otherwise(1)).unionByName(again)
+    deck = t.annotations.where("annotation_key % 11 = 0").select(F.col("annotation_key").alias("card_key"))
+    done = _kept_run(fed, F.col("part") == 1, lambda rows: keyed.enrolled(rows, deck, TODAY))
+    return done.select("card_key", "item_key", F.col("due").cast("string").alias("due"))
+
+
+@query(f"""WITH runs AS (SELECT event_type AS watch_id, user_id || props AS finding_id, max(ts) AS seen_at,
+  CAST(ts AS DATE) <= {HALF} AS early FROM events GROUP BY ALL),
+seen AS (SELECT watch_id, finding_id FROM (SELECT *, row_number() OVER (
+  PARTITION BY watch_id ORDER BY seen_at DESC, finding_id) AS n FROM runs WHERE early) x WHERE n <= 400)
+SELECT watch_id, finding_id FROM runs WHERE NOT early AND (watch_id, finding_id) NOT IN (SELECT (watch_id, finding_id) FROM seen)
+AND watch_id IN (SELECT watch_id FROM runs WHERE early)""")
+def stream_alerts_keyed(t: Tables) -> DataFrame:
+    found = t.events.select(F.col("event_type").alias("watch_id"),
+                            F.concat(F.col("user_id").cast("string"), "props").alias("finding_id"),
+                            F.col("ts").alias("seen_at"))
+    return _kept_run(found, _early(t, F.to_date("seen_at")), keyed.alerts).select("watch_id", "finding_id")
+
+
+@query(CLOCK + "SELECT tick_id, reader_id, pp AS credited_page, credit_ms, turned FROM clock "
+               "WHERE credit_ms IS NOT NULL OR turned")
+def stream_clock_keyed(t: Tables) -> DataFrame:
+    done = _kept_run(t.ticks, _early(t, F.to_date("ts")), lambda rows: keyed.credits(rows, CAP, idle_hours=24 * 400))
+    return done.select("tick_id", "reader_id", "credited_page", "credit_ms", "turned")
+
+
+@query(CLOCK + """SELECT CAST(day AS VARCHAR) AS day, seconds, pages FROM daily
+WHERE day + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND (seconds > 0 OR pages > 0)""")
+def stream_days(t: Tables) -> DataFrame:
+    done = _kept_run(t.ticks, _early(t, F.to_date("ts")), lambda rows: keyed.days(keyed.credits(
+        rows, CAP, idle_hours=24 * 400)))
+    return done.select(F.col("day").cast("string").alias("day"), "seconds", "pages")

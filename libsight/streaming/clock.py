@@ -19,38 +19,50 @@ _STATE = "attachment_key bigint, page int, since_ms bigint, focused boolean, tic
 
 # --- per-reader state, for low latency
 
+def advance(reader: int, ticks: pd.DataFrame, held: tuple | None, cap_ms: int) -> tuple[pd.DataFrame, tuple] | None:
+    """Credited rows of a reader's new ticks, and the state after them; None if all ticks are old.
+
+    ``held`` is the state before: attachment, page, time, focus and id of the last tick.  The clock never
+    runs back: a tick before the last one neither credits nor counts.
+    """
+    ticks = ticks.sort_values(["ts", "tick_id"], ignore_index=True)
+    at = ticks["ts"].astype("datetime64[us]").astype("int64") // 1000
+    if held is not None:
+        _, _, since, _, carried = held
+        later = (at > since) | ((at == since) & (ticks["tick_id"] > carried))
+        ticks, at = ticks[later].reset_index(drop=True), at[later].reset_index(drop=True)
+        if ticks.empty:
+            return None
+    now = pd.DataFrame({"attachment_key": ticks["attachment_key"], "page": ticks["page"],
+                        "since_ms": at, "focused": ticks["focused"].astype(bool)})
+    before = now.shift(1)
+    if held is not None:
+        before.loc[0, list(now.columns)] = list(held)[:4]
+    running = now["focused"] & (before["focused"] == True) & (  # noqa: E712 - missing is not True
+        before["attachment_key"] == now["attachment_key"])
+    gap = (now["since_ms"] - before["since_ms"].astype("float64")).clip(upper=cap_ms)
+    credited = running & (gap > reading.CREDIT_FLOOR_MS)
+    out = ticks.assign(
+        reader_id=reader, credit_ms=gap.where(credited).astype("Int64"),
+        turned=running & (before["page"] != now["page"]),
+        credited_page=before["page"].astype("float64").astype("Int64"))
+    last = now.iloc[-1]
+    state = (int(last.attachment_key), int(last.page), int(last.since_ms), bool(last.focused),
+             int(ticks["tick_id"].iloc[-1]))
+    return out.loc[credited | out["turned"], [f.split()[0] for f in CREDITS.split(", ")]], state
+
+
 def _clock(cap_ms: int, idle_ms: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             group.remove()
             return
-        ticks = pd.concat(list(frames)).sort_values(["ts", "tick_id"], ignore_index=True)
-        at = ticks["ts"].astype("datetime64[us]").astype("int64") // 1000
-        if group.exists:
-            # the clock never runs back: a tick before the carried one neither credits nor counts
-            _, _, since, _, carried = group.get
-            later = (at > since) | ((at == since) & (ticks["tick_id"] > carried))
-            ticks, at = ticks[later].reset_index(drop=True), at[later].reset_index(drop=True)
-            if ticks.empty:
-                return
-        now = pd.DataFrame({"attachment_key": ticks["attachment_key"], "page": ticks["page"],
-                            "since_ms": at, "focused": ticks["focused"].astype(bool)})
-        before = now.shift(1)
-        if group.exists:
-            before.loc[0, list(now.columns)] = list(group.get)[:4]
-        running = now["focused"] & (before["focused"] == True) & (  # noqa: E712 - missing is not True
-            before["attachment_key"] == now["attachment_key"])
-        gap = (now["since_ms"] - before["since_ms"].astype("float64")).clip(upper=cap_ms)
-        credited = running & (gap > reading.CREDIT_FLOOR_MS)
-        out = ticks.assign(
-            reader_id=key[0], credit_ms=gap.where(credited).astype("Int64"),
-            turned=running & (before["page"] != now["page"]),
-            credited_page=before["page"].astype("float64").astype("Int64"))
-        last = now.iloc[-1]
-        group.update((int(last.attachment_key), int(last.page), int(last.since_ms), bool(last.focused),
-                      int(ticks["tick_id"].iloc[-1])))
-        group.setTimeoutTimestamp(int(last.since_ms) + idle_ms)
-        yield out.loc[credited | out["turned"], [f.split()[0] for f in CREDITS.split(", ")]]
+        done = advance(key[0], pd.concat(list(frames)), group.get if group.exists else None, cap_ms)
+        if done is not None:
+            rows, state = done
+            group.update(state)
+            group.setTimeoutTimestamp(state[2] + idle_ms)
+            yield rows
     return step
 
 

@@ -128,3 +128,65 @@ def test_gap_ties_and_citing_titles(spark):
     cited = refs.cited_by(table.dropDuplicates(["citing_key"]), spark.createDataFrame([("10.1/x",)], "gap_key string"))
     items = spark.createDataFrame([(1, "A" * 80), (2, "B")], "item_key bigint, title string")
     assert refs.cited_by_titles(cited, items).first().cited_by == ["A" * 60, "B"]
+
+
+def _arrive(spark, rows, schema, folder, streamed, mode="append"):
+    """One more part of a stream, and what the query has put out after it."""
+    from libsight.streaming import keyed
+    keyed.use_state_store(spark)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = streamed(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+    (out.writeStream.format("parquet").option("path", f"{folder}/out").outputMode(mode)
+     .option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").collect()
+
+
+def test_keyed_alerts_forget_beyond_their_memory(spark, folder):
+    """Baselines, an empty first run, ids forgotten and shown again, against a plain fold."""
+    from libsight.streaming import keyed
+    schema = "watch_id string, finding_id string, seen_at timestamp"
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    runs = [[("w", "a", at(1)), ("w", "b", at(2)), ("w", "c", at(0)), ("v", None, at(0))],
+            [("w", "c", at(5)), ("w", "a", at(5)), ("w", "d", at(5)), ("v", "x", at(5)), ("v", "x", at(6))],
+            [("w", "a", at(9)), ("w", "b", at(9)), ("v", "x", at(9)), ("u", "a", at(9))]]
+    seen, ran, want = {}, set(), []
+    for run in runs:
+        for watch in sorted({r[0] for r in run}):
+            known = seen.setdefault(watch, {})
+            fresh = {}
+            for w, f, t in run:
+                if w == watch and f is not None and f not in known:
+                    fresh[f] = max(t, fresh.get(f, t))
+            want += [(watch, f) for f in fresh] if watch in ran else []
+            ran.add(watch)
+            both = sorted({**known, **fresh}.items(), key=lambda x: (-x[1].timestamp(), x[0]))
+            seen[watch] = dict(both[:2])
+    got = []
+    for run in runs:
+        got = _arrive(spark, run, schema, folder, lambda rows: keyed.alerts(rows, memory=2))
+    assert sorted((r.watch_id, r.finding_id) for r in got) == sorted(want)
+    assert ("w", "b") not in want[:1] and ("w", "c") in want
+
+
+def test_keyed_enrolment_takes_an_annotation_once(spark, folder):
+    from libsight.streaming import keyed
+    schema = "annotation_key bigint, item_key bigint, text string, comment string"
+    long = "x" * 30
+    deck = spark.createDataFrame([(9,)], "card_key bigint")
+    for rows in ([(1, 1, long, None), (1, 1, long, None), (2, 1, "short", None)],
+                 [(1, 1, long, None), (3, 1, "", long), (9, 1, long, None)]):
+        got = _arrive(spark, rows, schema, folder, lambda s: keyed.enrolled(s, deck, "2024-01-30"))
+    assert sorted((r.card_key, str(r.due)) for r in got) == [(1, "2024-01-31"), (3, "2024-01-31")]
+
+
+def test_a_reader_idle_for_long_is_forgotten(spark, folder):
+    """The clock's state goes after the idle time; days close with the watermark, in one query."""
+    from libsight.streaming import keyed
+    schema = ("tick_id bigint, reader_id bigint, item_key bigint, attachment_key bigint, page int, focused boolean, "
+              "num_pages int, ts timestamp")
+    tick = lambda i, reader, day, sec: (i, reader, 1, 1, sec, True, 9, dt.datetime(2024, 1, day, 10, 0, sec))
+    parts = ([tick(0, 1, 1, 0), tick(1, 1, 1, 10), tick(2, 1, 1, 15)], [tick(3, 2, 5, 0), tick(4, 2, 5, 4)],
+             [tick(5, 1, 5, 8), tick(6, 2, 5, 9)], [tick(7, 3, 9, 0)])
+    for rows in parts:
+        got = _arrive(spark, rows, schema, folder, lambda s: keyed.days(keyed.credits(s, 20, idle_hours=1)))
+    assert sorted((str(r.day), r.seconds, r.pages) for r in got) == [("2024-01-01", 15, 2), ("2024-01-05", 9, 2)]
