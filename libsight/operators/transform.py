@@ -147,11 +147,16 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
             .select(tx.text_key("text").alias("text_hash"), "text"))
 
 
+_REPLIES = "text_hash string, text string, value string, error string, fatal boolean"
+#: Ends of the waves in 64ths of the texts.
+_WAVES = (2, 16, 64)
+
+
 def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
     """``text_hash, text, value, error`` of one engine; '' where it gave nothing.
 
     Entries missing at a reply's end count as empty; a reply with surplus entries fails its
-    batch.  A fatal cause ends the engine for the rest of the task's rows.
+    batch.  A fatal cause ends the engine for the rest of the task's rows, whose ``fatal`` is set.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fatal: str | None = None
@@ -172,10 +177,39 @@ def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
                 values += got
                 errors += [None if v else (why or "empty reply") for v in got]
             yield pd.DataFrame({"text_hash": frame["text_hash"], "text": frame["text"],
-                                "value": values, "error": errors})
+                                "value": values, "error": errors, "fatal": fatal is not None})
+
+    return pending.select("text_hash", "text").mapInPandas(run, _REPLIES)
 
-    return pending.select("text_hash", "text").mapInPandas(
-        run, "text_hash string, text string, value string, error string")
+
+def run_in_waves(pending: DataFrame, engine: Engine) -> DataFrame:
+    """As ``run_engine``, checkpointed, with a stop for the whole engine.
+
+    One batch of texts is the probe; growing waves of the others follow.  A wave starts only if
+    those before met no fatal cause, so an engine that is dead gets the probe, and one that
+    dies later the calls of its wave, however many tasks there are.  Texts not sent have the cause
+    as ``error``.
+    """
+    pending = cut_lineage(pending.select("text_hash", "text"))
+    first = pending.orderBy("text_hash").limit(engine.batch)
+    probed = cut_lineage(run_engine(first.coalesce(1), engine))
+    place = F.pmod(F.xxhash64("text_hash"), F.lit(_WAVES[-1]))
+    # a batch of text hashes
+    rest = pending.join(F.broadcast(probed.select("text_hash")), "text_hash", "left_anti")
+    out, cause, start = probed, _cause(probed), 0
+    for end in _WAVES:
+        if cause is not None:
+            return out.unionByName(rest.where(place >= start).select(
+                "text_hash", "text", F.lit("").alias("value"), F.lit(cause).alias("error"), F.lit(True).alias("fatal")))
+        replies = cut_lineage(run_engine(rest.where((place >= start) & (place < end)), engine))
+        out, cause, start = out.unionByName(replies), _cause(replies), end
+    return out
+
+
+def _cause(replies: DataFrame) -> str | None:
+    """Why the engine is dead; None while it answers."""
+    row = replies.where("fatal and error is not null").agg(F.min("error")).first()
+    return row[0]
 
 
 def fallback_order(engines: Sequence[Engine], chosen: str) -> list[Engine]:
@@ -200,7 +234,7 @@ def translate_texts(texts: DataFrame, engines: Sequence[Engine], chosen: str, la
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
     pending, out, replies = looked.where("value is null"), hits, None
     for engine in [first] + (fallback_order(engines, chosen) if fallback else []):
-        replies = cut_lineage(run_engine(pending, engine))
+        replies = run_in_waves(pending, engine)
         done = replies.where("value <> ''")
         out = out.unionByName(done.select("text_hash", "text", "value", F.lit(engine.name).alias("engine"),
                                           "error", F.lit(False).alias("cached")))

@@ -165,6 +165,36 @@ def test_engine_chain(spark):
         pass
 
 
+def test_a_dead_engine_is_not_asked_again(spark, folder):
+    """A fatal cause stops the whole engine: one probe, or one wave, however many tasks there are."""
+    import glob
+    import uuid
+
+    def counted(name, dies):
+        def call(texts):
+            open(f"{folder}/{name}-{uuid.uuid4().hex}", "w").close()
+            if any(dies(t) for t in texts):
+                raise transform.EngineError("auth", "401")
+            return [t.upper() for t in texts]
+        return call
+
+    texts = transform.distinct_texts(spark.createDataFrame([(f"text {i:04d}",) for i in range(640)], "text string").repartition(16))
+    probe = min((r.text_hash, r.text) for r in texts.collect())[1]
+    chain = [transform.Engine("dead", counted("dead", lambda t: True)),
+             transform.Engine("dying", counted("dying", lambda t: t != probe)), transform.Engine("fine", counted("fine", lambda t: False), 8)]
+    results = transform.translate_texts(texts, chain, "dead", "en").collect()
+    assert {r.text: r.value for r in results} == {f"text {i:04d}": f"TEXT {i:04d}" for i in range(640)}
+    assert {r.text: r.engine for r in results}[probe] == "dying" and {r.engine for r in results} == {"dying", "fine"}
+    assert len(glob.glob(f"{folder}/dead-*")) == 1
+    # the probe, then at most one call for each task of the first wave
+    assert 2 <= len(glob.glob(f"{folder}/dying-*")) <= 1 + 640 * 4 // 64
+    try:
+        transform.translate_texts(texts, chain[:1], "dead", "en", fallback=False)
+        raise AssertionError("nothing translated must raise")
+    except transform.EngineError:
+        pass
+
+
 def test_failure_kinds(spark):
     cases = [(402, "", "quota"), (400, '{"error":{"message":"maximum context length is 8k"}}', "context"),
              (404, '{"error":"model x not found"}', "model"), (401, "", "auth"), (403, "<html>", "auth"),
