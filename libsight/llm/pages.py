@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,10 @@ from libsight.llm.scratch import Scratch
 from libsight.session import cut_lineage, ship
 
 # Elements by role, and words in class, id or role that mark boilerplate.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object",
-       "math", "canvas", "select", "option", "xmp"}
-SKIPPED = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
+RAW = {"script", "style", "noscript", "textarea", "title", "iframe", "xmp"}
+SKIPPED = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "svg", "math",
+           "object", "canvas", "select", "template"}
+IN_HEAD = {"base", "link", "meta", "noscript", "object", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 BREAKING = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd",
@@ -44,6 +46,19 @@ MARKED = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertisi
           "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor",
           "sponsored", "subscribe", "toolbar", "widget", "widgets"}
 
+#: Parts of a class name that turn its other parts round or name a layout.
+NEUTRAL = {"no", "non", "not", "without", "free", "has", "with", "less"}
+# Which open elements a start tag ends, and where the search for them stops.
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset",
+          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main",
+          "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+        "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+        "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+        "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"})}
+CELLS = {"table", "caption", "td", "th"}
+TABLE_PARTS = {"table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"}
+
 #: A line on more different pages of a host than this is boilerplate.
 FEW_PAGES = 2
 
@@ -69,7 +84,79 @@ def _marked(attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif MARKED.intersection(re.split(r"[^a-z]+", value)):
+        elif any(_condemned(token) for token in value.split()):
+            return True
+    return False
+
+
+def _condemned(token: str) -> bool:
+    """Whether a class name or id marks boilerplate: one of its parts does, and none says the opposite."""
+    parts = set(re.split(r"[^a-z]+", token))
+    return bool(MARKED & parts) and not NEUTRAL & parts
+
+
+class _Open:
+    """The open elements of a page, innermost last."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, skipped, article
+        self.counts: Counter = Counter()
+        self.skips = self.articles = self.links = 0
+
+    def push(self, name: str, skipped: bool = False, article: bool = False) -> None:
+        self.stack.append((name, skipped, article))
+        self._count((name, skipped, article), 1)
+
+    def _count(self, entry: tuple[str, bool, bool], by: int) -> None:
+        self.counts[entry[0]] += by
+        self.skips += by * entry[1]
+        self.articles += by * entry[2]
+        self.links += by * (entry[0] == "a")
+
+    def cut(self, to: int) -> None:
+        """Close the elements from place ``to`` on."""
+        while len(self.stack) > to:
+            self._count(self.stack.pop(), -1)
+
+    def find(self, names: set[str], stops: set[str]) -> int | None:
+        """Place of the innermost open element of ``names``, unless one of ``stops`` lies further in."""
+        if not any(self.counts[n] for n in names):
+            return None
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] in names:
+                return at
+            if self.stack[at][0] in stops:
+                return None
+        return None
+
+    def imply(self, name: str) -> None:
+        """Close what a start tag of ``name`` ends without an end tag."""
+        if self.counts["head"] and name not in IN_HEAD:
+            self.cut(self.find({"head"}, set()))
+        if name in ENDS_P and (at := self.find({"p"}, CELLS)) is not None:
+            self.cut(at)
+        if name in ENDS and (at := self.find(*ENDS[name])) is not None:
+            self.cut(at)
+        if name == "a" and (at := self.find({"a"}, CELLS)) is not None:
+            self._count(self.stack.pop(at), -1)
+
+    def end(self, name: str) -> None:
+        """Close the innermost ``name`` and all in it; an end tag without its start does nothing."""
+        if name in TABLE_PARTS:
+            stops = {"table"} - {name}
+        elif name in BREAKING:
+            stops = CELLS
+        else:
+            stops = BREAKING - {"br", "hr"}  # an inline end tag closes no block
+        if name not in ("body", "html") and (at := self.find({name}, stops)) is not None:
+            self.cut(at)
+
+
+def _own_end(source: str, at: int, name: str, depth: int) -> bool:
+    """Whether an element of ``name`` that is ``depth`` deep in its like gets its end tag after ``at``."""
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>])", source[at:], re.I):
+        depth += -1 if tag[1] else 1
+        if not depth:
             return True
     return False
 
@@ -77,82 +164,72 @@ def _marked(attributes: str) -> bool:
 def lines_of(source: str) -> list[Line]:
     """Visible blocks of a page in order: white space is one space, references are decoded.
 
-    A skipped element ends at its own end tag, or where an article or the main part opens.
-    Without any article or main element no line is marked as article.
+    Open elements form a stack, and end tags that may be left out are implied.  A skipped element
+    ends where it is closed; one that never gets its end tag also where an article or the main
+    part opens in it.  Script and the like run to their own end tag.  Without any article or main
+    element no line is marked as article.
     """
     out: list[Line] = []
     words: list[str] = []
     linked = total = 0
-    skip, depth = "", 0            # the element being skipped, and how often it is open
-    inside: list[str] = []         # open article and main elements
-    in_link = 0
-    raw = ""
+    held = _Open()
+    ends: dict[int, bool] = {}  # of skipped elements, by their place: whether an end tag follows
     at = 0
 
     def flush() -> None:
         nonlocal linked, total
         text = " ".join("".join(words).split())
         if text:
-            out.append(Line(text, bool(inside), linked / max(total, 1)))
+            out.append(Line(text, held.articles > 0, linked / max(total, 1)))
         words.clear()
         linked = total = 0
 
     def add(text: str) -> None:
         nonlocal linked, total
-        if text and not skip:
+        if text and not held.skips:
             text = html.unescape(text)
             words.append(text)
             total += len(text)
-            linked += len(text) if in_link else 0
+            linked += len(text) if held.links else 0
 
     while match := _TAG.search(source, at):
-        if not raw:
-            add(source[at:match.start()])
+        add(source[at:match.start()])
         at = match.end()
         name = (match[2] or match[5] or "").lower()
         if not name:
             continue
         closing, attributes = bool(match[1] or match[4]), match[3] or match[6] or ""
-        if raw:
-            raw = "" if closing and name == raw else raw
-            continue
-        if name in ("article", "main") and not closing and not _marked(attributes):
-            if skip and name:
-                words.clear()
-                skip = ""
-            flush()
-            inside.append(name)
-            continue
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif skip == "head" and name == "body" and not closing:
-                skip = ""
-            continue
-        if name in BREAKING:
+        if name in BREAKING and not held.skips:
             flush()
         if closing:
-            if name in inside:
-                while inside.pop() != name:
-                    pass
-            elif name == "a":
-                in_link = 0
+            held.end(name)
             continue
+        held.imply(name)
         if name in RAW:
-            if not attributes.rstrip().endswith("/"):
-                raw = name
-        elif name in VOID:
-            pass
-        elif (name in SKIPPED or (name == "header" and not inside)
-              or (attributes and name not in ("html", "body") and _marked(attributes))):
-            flush()
-            skip, depth = name, 1
-        elif name == "a":
-            in_link = 1
-    if not raw:
-        add(_OPEN_END.sub("", source[at:]))
+            if end := re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at):
+                at = end.end()
+            else:
+                at = len(source)
+            continue
+        if name in VOID or (name in ("svg", "math") and attributes.rstrip().endswith("/")):
+            continue
+        marked = bool(attributes) and name not in ("html", "body") and _marked(attributes)
+        article = name in ("article", "main") and not marked
+        if article and held.skips:
+            place = next(i for i, entry in enumerate(held.stack) if entry[1])
+            kind = held.stack[place][0]
+            if place not in ends:
+                ends[place] = _own_end(source, at, kind, sum(entry[0] == kind for entry in held.stack[place:]))
+            if not ends[place]:
+                held.cut(place)
+        if not held.skips:
+            ends.clear()
+            if marked or name in SKIPPED or (name == "header" and not held.articles):
+                flush()
+                held.push(name, skipped=True)
+                continue
+        held.push(name, article=article and not held.skips)
+    add(_OPEN_END.sub("", source[at:]))
     flush()
     return out
 

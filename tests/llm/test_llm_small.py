@@ -261,6 +261,37 @@ def test_lines_heed_markup():
     assert pages.lines_of("") == [] and pages.lines_of("3 < 4")[0].text == "3 < 4"
 
 
+@pytest.mark.parametrize("source,text", [
+    ('<script>if(a<b){x="y"}</script><p>Hello world</p>', "Hello world"),
+    ('<style>a<b</style><title>no <b></title><p>seen</p>', "seen"),
+    ('<script>never closed <p>gone</p>', ""),
+    ('<p class="notice">x<p>prose one</p><p>two</p>', "prose one two"),
+    ('<ul><li>one<li class="share">x<li>real</ul><p>prose</p>', "one real prose"),
+    ('<li class="share">x<li>real</ul><p>prose</p>', "real prose"),
+    ('<div class="layout no-sidebar"><p>Real prose</p></div>', "Real prose"),
+    ('<article><div class="ad-free">kept</div><div class="x ad">lost</div></article>', "kept"),
+    ('<main><p>said</p><div class="comments"><article>reader comment</article></div><p>more</p></main>', "said more"),
+    ('<div class="menu"><b>never closed <article>text</article>', "text"),
+    ('<aside>a<div>b</aside>c<div>d</div>', "c d"),
+    ('<table><tr><td class="nav">m<td>cell<tr><td>next</table><p>after', "cell next after"),
+    ('<head><title>t</title><p>no head end</p>', "no head end"),
+    ('<span>in</div> line</span> out', "in line out"),
+    ('<svg/><p>a</p><svg><text>b</text></svg><p>c</p>', "a c"),
+    ('<a href="#">one<a href="#">two</a> three', "onetwo three"),
+    ('<form><input>x</form><dl><dt>a<dd>b<dt class="related">c<dd>d</dl>', "a b d"),
+    ("<p>1 < 2 &amp; 3 > 2</p><!-- > --><p>x", "1 < 2 & 3 > 2 x"),
+])
+def test_lines_of_awkward_markup(source, text):
+    """Raw elements, implied ends, compound class names, articles inside what is skipped."""
+    assert pages.main_text(pages.lines_of(source), None) == text
+
+
+def test_lines_of_a_very_long_page():
+    deep = "<div>" * 30_000 + "text" + "</div>" * 30_000 + "<p>x" * 30_000 + "<ul><li>" * 5_000
+    lines = pages.lines_of(deep)
+    assert lines[0].text == "text" and len(lines) == 30_001
+
+
 def test_differencing_deletes_shared_lines(spark):
     def plain(*lines):
         return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
