@@ -18,7 +18,8 @@ from libsight.llm.words import Block, SPACE, blocks, mix
 from libsight.session import ship
 
 BITS = 18
-#: Bounds of the training sample: labelled rows, and feature entries held by the fitting task.
+#: Default bounds of the training sample: labelled rows, and feature entries (8 bytes each) that the
+#: fitting task holds.
 SAMPLE_ROWS, SAMPLE_ENTRIES = 8192, 40_000_000
 #: Factor on shares, so that one whole family of features has this length.
 SCALE = 8.0
@@ -125,14 +126,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS,
-        sample_rows: int = SAMPLE_ROWS, epochs: int = 4) -> np.ndarray:
-    """Weights of the classifier, learned from at most ``sample_rows`` labelled rows.
-
-    Rows that ``held_out`` names are left out.  The sample are the training rows with the least
-    hashes of their ids, so it is the same in every run; its ids (bounded) are broadcast, its
-    texts become features where they lie, and one task passes over those features ``epochs``
-    times.  Null ids or labels are left out; of several labels of one id the greatest counts.
-    Without labelled rows all weights are 0.
+        sample_rows: int = SAMPLE_ROWS, epochs: int = 4, sample_entries: int = SAMPLE_ENTRIES) -> np.ndarray:
+    """Weights of the classifier, learned from a bounded sample of labelled documents.
+
+    Rows that ``held_out`` names are left out.  The sample are the training ids with the least
+    hashes, at most ``sample_rows`` of them, and in that order only as many documents as have
+    ``sample_entries`` features together; the first that goes beyond ends the sample.  It is
+    the same in every run.  Its ids are broadcast, and one task passes over the features ``epochs``
+    times.  Null ids or labels are left out; of several labels of one id the greatest counts, of
+    several texts that with the least hash.  Without labelled rows all weights are 0.
     """
     ship(documents.sparkSession)
     rows = (labels.select(F.col("doc_id").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label"))
@@ -140,7 +142,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: i
             .groupBy("_id").agg(F.max("_label").alias("_label"))
             .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     train = (documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-             .join(F.broadcast(rows), "_id").select("_id", "_label", "_text"))
+             .join(F.broadcast(rows), "_id").groupBy("_id", "_label")
+             .agg(F.min_by("_text", F.struct(F.xxhash64("_text"), F.coalesce("_text", F.lit("")))).alias("_text")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,13 +160,14 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: i
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, entries = [], 0
         for batch in batches:
-            # views of the batch: features are held once, as they came
+            # views of the batch: features are held once, as they came; past the bound batches only pass
             for label_, index, value in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                index = index.values.to_numpy()
-                if entries + len(index) > SAMPLE_ENTRIES:
+                if entries > sample_entries:
                     break
+                index = index.values.to_numpy()
                 entries += len(index)
-                docs.append((label_, index, value.values.to_numpy()))
+                if entries <= sample_entries:
+                    docs.append((label_, index, value.values.to_numpy()))
         model = Ftrl(1 << bits)
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(len(docs)):
@@ -172,7 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: i
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()])], names=["weights"])
 
     got = (train.mapInArrow(extract, "_id bigint, _label int, index array<int>, value array<float>")
-           .repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", F.size("index"))
+           .repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id")
            .mapInArrow(learn, "weights binary").collect())
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(1 << bits, np.float32)
 

@@ -57,10 +57,21 @@ def _unit(*columns: Column, seed: int) -> Column:
                   F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+_MASK = (1 << 64) - 1
+
+
+def _coin(a: int, b: int, seed: int) -> float:
+    """A number in [0, 1) fixed by two items and the seed."""
+    x = (a * 0x9E3779B97F4A7C15 + b * 0xD6E8FEB86659FD93 + seed) & _MASK
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = ((x ^ (x >> 30)) * factor) & _MASK
+    return ((x ^ (x >> 31)) >> 11) / (1 << 53)
+
+
 _ROUNDED = "item bigint, node bigint, chance double, mass double, draw double, copy int"
 
 
-def _pair_level(rows: DataFrame) -> DataFrame:
+def _pair_level(rows: DataFrame, seed: int) -> DataFrame:
     """Pair the open rows of each (source, node); at most one stays open (``copy`` null).
 
     Rows stream through from the longest down, so that the one left open tends to be short;
@@ -85,9 +96,7 @@ def _pair_level(rows: DataFrame) -> DataFrame:
                 _, h_item, h_node, q, w, h_draw = held
                 give = min((1 - q) * w, p * m)   # to the held row
                 take = min(q * w, (1 - p) * m)   # from the held row
-                # one more number in [0, 1), fixed by the two rows
-                chance = (draw + h_draw * 1.618033988749895) % 1.0
-                if chance * (give + take) < take:
+                if _coin(h_item, item, seed) * (give + take) < take:
                     held_done, this_done = (1 - q) * w <= p * m, p * m <= (1 - q) * w
                     q, p = q + give / w, p - give / m
                     q, p = (1.0 if held_done else q), (0.0 if this_done else p)
@@ -120,25 +129,32 @@ def _pair_level(rows: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0,
-        seed: int = 17, size: Column | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Copies of every document: ``doc_id, source, size, n_rows, source_size, target, copies``.
-
-    One row per distinct (doc_id, source, size) with its number of rows ``n_rows``; every one
-    of those rows is taken ``copies`` times, so equal rows are rounded as one.  Words taken
-    are ``size * copies``; a source's sum differs from its target by less than its largest
-    item.  ``size`` defaults to the words of ``text``, 0 for a null.  Rows of size 0 carry no
-    words and are rounded on their own, at their source's rate (0 where the source has no
+        seed: int = 17, size: Column | None = None, leaf_rows: int = LEAF_ROWS,
+        wording: Column | None = None) -> DataFrame:
+    """Copies of every document: ``doc_id, source, size, n_rows, source_size, target, copies, extra``.
+
+    One row per distinct (doc_id, source, size) with its number of rows ``n_rows``: each of
+    those rows is taken ``copies`` times, and ``extra`` of them (below ``n_rows``) once more, so
+    ``copies * n_rows + extra`` documents together.  Rows are rounded, not groups: the whole part
+    of a group's sum is certain, and one row of it takes part in the pairing.  A source's words
+    differ from its target by less than its largest document.  ``size`` defaults to the words of
+    ``text``, 0 for a null; very long texts count whole.  ``wording``, a hash of the text for instance,
+    tells documents of equal id, source and size apart and is returned as a column.  Rows of size 0
+    carry no words and are rounded on their own, at their source's rate (0 where the source has no
     words).  Null sources are a source, null doc_ids are equal to each other.  Results depend
-    only on rows and ``seed``, not on their order or partitioning.  Empty input: no rows.
+    only on rows and ``seed``, not on their order or partitioning.  The table of sources passes
+    through one task (``targets``).  Empty input: no rows.
     """
     ship(documents.sparkSession)
+    told = [] if wording is None else ["wording"]
     items = cut_lineage(
         documents.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                          F.col("source").cast("string").alias("source"),
-                         (n_words() if size is None else size.cast("bigint")).alias("size"))
-        .groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows"))
-        .withColumn("item", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)),
-                                       F.isnull("doc_id"), "size", F.coalesce("source", F.lit("")))))
+                         (n_words() if size is None else size.cast("bigint")).alias("size"),
+                         *([] if wording is None else [wording.cast("bigint").alias("wording")]))
+        .groupBy("doc_id", "source", "size", *told).agg(F.count("*").alias("n_rows"))
+        .withColumn("item", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.isnull("doc_id"), "size",
+                                       F.coalesce("source", F.lit("")), F.isnull("source"), *told)))
     totals = items.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count("*").alias("_items"))
     plan = targets(totals, weights, cap)
@@ -149,8 +165,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
              .withColumn("_rate", F.coalesce(F.col("target") / F.when(
                  F.col("source_size") > 0, F.col("source_size")), F.lit(0.0)))
              .withColumn("_sure", F.floor("_rate").cast("int"))
-             .withColumn("chance", F.col("_rate") - F.col("_sure"))
-             .withColumn("mass", (F.col("size") * F.col("n_rows")).cast("double"))
+             .withColumn("_more", (F.col("_rate") - F.col("_sure")) * F.col("n_rows"))
+             .withColumn("_extra", F.floor("_more"))
+             .withColumn("chance", F.col("_more") - F.col("_extra"))
+             .withColumn("mass", F.col("size").cast("double"))
              .withColumn("draw", _unit(F.col("item"), seed=seed))
              .withColumn("node", F.floor(F.col("draw") * F.ceil(F.col("_items") / F.lit(leaf_rows)))))
     paired = (F.col("chance") > 0) & (F.col("mass") > 0)
@@ -164,7 +182,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
         "source", F.concat(F.when(F.col("_null"), F.lit("n")).otherwise(F.lit("s")), "source")).drop("_null")
     decided = None
     for level in range(levels):
-        rounded = cut_lineage(_pair_level(open_rows))
+        rounded = cut_lineage(_pair_level(open_rows, seed))
         done = rounded.where("copy is not null").select("item", "copy")
         decided = done if decided is None else decided.unionByName(done)
         open_rows = (rounded.where("copy is null").drop("copy")
@@ -172,9 +190,10 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     last = open_rows.select("item", (F.col("draw") * F.lit(7919.0) % 1 < F.col("chance"))
                             .cast("int").alias("copy"))
     alone = _unit(F.col("item"), seed=seed + 1) < F.col("chance")
-    return (keyed.join(decided.unionByName(last).groupBy("item").agg(F.max("copy").alias("copy")),
-                       "item", "left")
-            .select("doc_id", "source", "size", "n_rows", "source_size",
-                    F.coalesce("target", F.lit(0.0)).alias("target"),
-                    (F.col("_sure") + F.when(paired, F.col("copy")).otherwise(alone.cast("int")))
-                    .cast("bigint").alias("copies")))
+    rounded = keyed.join(decided.unionByName(last).groupBy("item").agg(F.max("copy").alias("copy")), "item", "left")
+    extra = F.col("_extra") + F.when(paired, F.col("copy")).otherwise(alone.cast("int"))
+    # a group whose every row is taken once more has no extra rows left
+    return (rounded.withColumn("_all", extra >= F.col("n_rows")).select(
+        "doc_id", "source", "size", *told, "n_rows", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
+        (F.col("_sure") + F.col("_all").cast("int")).cast("bigint").alias("copies"),
+        F.when(F.col("_all"), F.lit(0)).otherwise(extra).cast("bigint").alias("extra")))

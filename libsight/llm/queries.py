@@ -35,8 +35,9 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     rows = mixed.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))))
-    return rows.select("doc_id", "size", "source_size", "target",
-                       (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    copies = F.col("copies") + (F.col("_row") <= F.col("extra")).cast("int")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
+                       "source", copies.alias("copies"))
 
 
 @_query
@@ -83,7 +84,8 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, folder, "documents"))
+    cut = substrings.remove_repeats(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats")
 
 
 @_query

@@ -213,8 +213,10 @@ def _found(keyed: DataFrame, keep: Scratch, length: int, seed: int) -> DataFrame
     part = windows.groupBy("key", "place").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     # the later places of a wording have as many windows as the first
-    whole = met.where("sure").select("key", F.concat(F.array("place"), "more").alias("places"),
-                                     F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask"))
+    # rows of equal id and text have equal places: one list for all of them
+    whole = (met.where("sure").groupBy("key", "place").agg(F.first("more").alias("more"))
+             .select("key", F.concat(F.array("place"), "more").alias("places"),
+                     F.expr("shiftleft(1L, cast(place & 63 as int)) - 1").alias("mask")))
     return cut_lineage(whole.unionByName(part.select("key", F.array("place").alias("places"), "mask")))
 
 
@@ -227,7 +229,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED_
     ``n_removed``, ``n_repeats`` (maximal removed runs) and ``kept_sha256`` (of the kept words
     joined by one space) or, with ``with_text``, ``kept_text``, in which white space before kept
     words stays and untouched texts are unchanged.  Null texts have no words.  Repeated rows
-    repeat each other's windows.  ``documents`` needs ``doc_id`` and ``text``; ids may be null or
+    repeat each other's windows, and share one list of places.  A very long text is hashed in one piece,
+    so a task holds some 30 bytes for each byte of the longest text.  ``documents`` needs ``doc_id`` and ``text``; ids may be null or
     repeated.  A column of ``others`` named like an added one is dropped.  Empty input: no rows.
     """
     if length - seed + 1 > 63 or seed < 1:

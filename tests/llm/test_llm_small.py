@@ -144,6 +144,15 @@ def test_substring_texts_and_repeated_rows(spark, docs, corpus, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_many_equal_rows(spark):
+    """Equal rows share one list of places: time and memory grow with the rows, not with their square."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    rows = [(None, text)] * 3000 + [(7, text + " tail")] + [(8, "own " + " ".join(f"x{i}" for i in range(60)))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == {(None, 400, 400): 3000, (7, 401, 400): 1, (8, 61, 0): 1}
+
+
 # --- op3
 
 def brute_targets(sizes, weights=(5, 2, 1), cap=3.0):
@@ -192,6 +201,62 @@ def test_mixing_caps_and_odd_rows(spark):
     assert [r.n_rows for r in got if r.doc_id is None] == [2]
 
 
+def test_mixing_rounds_rows_not_groups(spark):
+    """Rows that are equal, or differ in their text only, miss the target by less than one document."""
+    rows = ([(None, "w " * 10, "a")] * 1000 + [(5, "v " * 7, "b")] * 333 + [(None, f"u{i} " * 10, "b") for i in range(100)]
+            + [(i, "x " * (i % 30), "c") for i in range(1000, 1300)] + [(None, None, None)] * 9)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    for wording in (None, F.xxhash64("text")):
+        got = mixing.mix(df, leaf_rows=16, wording=wording).collect()
+        sizes, taken, largest = Counter(), Counter(), Counter()
+        for r in got:
+            assert 0 <= r.extra < r.n_rows and r.copies + (r.extra > 0) <= 3
+            sizes[r.source] += r.size * r.n_rows
+            taken[r.source] += r.size * (r.copies * r.n_rows + r.extra)
+            largest[r.source] = max(largest[r.source], r.size)
+        want = brute_targets(sizes)
+        assert sum(r.n_rows for r in got) == len(rows)
+        for source in sizes:
+            assert abs(taken[source] - want[source]) <= largest[source]
+    assert len(got) > 100 + 300
+
+
+def test_mixing_tosses_a_coin_for_every_pair(spark):
+    """Documents taken per leaf spread as with true coins, over some hundred leaves."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"),
+                                    (1 + F.col("id") % 97).alias("n")).unionByName(
+        spark.range(6000, 12_000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), (1 + F.col("id") % 89).alias("n")))
+    got = mixing.mix(rows, weights=(2, 1), size=F.col("n"), leaf_rows=40).select(
+        "source", "copies", "size", (F.col("target") / F.col("source_size")).alias("rate"),
+        F.floor(mixing._unit(F.xxhash64(F.lit(17), "doc_id", F.lit(False), "size", "source", F.lit(False)), seed=17) * 150)
+        .alias("leaf")).where("source = 'b'").collect()
+    rate = got[0].rate % 1
+    leaves = defaultdict(list)
+    for r in got:
+        leaves[r.leaf].append((r.size, r.copies - int(r.rate)))
+    rng = random.Random(1)
+
+    def pivotal(sizes):
+        held, n = None, 0
+        for m in sorted(sizes, reverse=True):
+            if held is None:
+                held = (m, rate)
+                continue
+            (w, q), p = held, rate
+            give, take = min((1 - q) * w, p * m), min(q * w, (1 - p) * m)
+            q, p = (q + give / w, p - give / m) if rng.random() * (give + take) < take else (q - take / w, p + take / m)
+            held = None
+            for size, chance in ((w, q), (m, p)):
+                if chance < 1e-9 or chance > 1 - 1e-9:
+                    n += chance > 0.5
+                else:
+                    held = (size, chance)
+        return n + (held is not None and rng.random() < held[1])
+    own = np.std([sum(c for _, c in rows) - rate * len(rows) for rows in leaves.values()])
+    true = np.std([pivotal([s for s, _ in rows]) - rate * len(rows) for rows in leaves.values() for _ in range(5)])
+    assert len(leaves) > 100 and 0.75 * true < own < 1.3 * true
+
+
 def test_mixing_is_fair(spark):
     """Over seeds, a document's mean copies approach its source's rate."""
     rows = spark.createDataFrame([(i, 1 + i % 7, "a" if i < 30 else "b") for i in range(60)],
@@ -498,6 +563,23 @@ def test_classifier_learns_and_scores_odd_texts(spark, empty):
     assert classifier.classify(empty, marks).count() == 0
 
 
+def test_classifier_sample_is_one_text_an_id_and_bounded(spark):
+    rows = [(i, ("bad### " if i % 2 else "good words ") * 20) for i in range(60)]
+    marks = spark.createDataFrame([(i, (i + 1) % 2) for i in range(60)], "doc_id bigint, quality int")
+    once = spark.createDataFrame(rows, "doc_id bigint, text string")
+    again = spark.createDataFrame(rows * 3, "doc_id bigint, text string").repartition(7)
+    weights = classifier.fit(once, marks)
+    assert (weights == classifier.fit(again, marks)).all()
+    # the sample ends in hash order, however the features come in batches
+    few = classifier.fit(once, marks, sample_entries=100)
+    assert (few == classifier.fit(once.repartition(9), marks, sample_entries=100)).all() and (few != weights).any()
+    assert not classifier.fit(once, marks, sample_entries=0).any()
+    # of several texts of an id the one with the least hash
+    other = once.unionByName(once.withColumn("text", F.concat("text", F.lit("z"))))
+    least = other.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    assert (classifier.fit(other, marks) == classifier.fit(least, marks)).all()
+
+
 def test_features_equal_per_text_features(corpus):
     """A block of many texts gives each text what a block of its own gives."""
     import pyarrow as pa

@@ -44,3 +44,31 @@ def test_stages_run_and_decide(spark, folder):
     empty = spark.createDataFrame([], before.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    """Groups are told apart by id and text; of each the least id stays, null ids last."""
+    rng = random.Random(4)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(8)]
+    near = lambda t: t + " one more word"
+    rows = [(1, text[0]), (1, text[1]), (1, near(text[1])), (2, text[1]), (3, text[2]), (3, text[2]), (None, text[3]),
+            (None, text[4]), (None, near(text[4])), (None, text[5]), (9, near(text[5])), (4, ""), (4, None), (5, None), (None, text[6]),
+            (None, text[6])]
+    docs = spark.createDataFrame([(i, t, k, "s") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, _rows int, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect()
+    assert len(got) == 10 and len({(r.doc_id, r.text) for r in got}) == 10
+    kept = {(r.doc_id, r.text) for r in got}
+    assert kept >= {(1, text[0]), (3, text[2]), (None, text[3]), (9, near(text[5])), (4, ""), (4, None), (5, None), (None, text[6])}
+    assert len(kept & {(1, text[1]), (1, near(text[1]))}) == 1 and (2, text[1]) not in kept
+    assert len(kept & {(None, text[4]), (None, near(text[4]))}) == 1
+
+
+def test_target_mix_of_equal_rows(spark):
+    """Rows that equal each other share what they take together, rows of one size and id do not."""
+    rows = [(None, "w " * 10, "a", k) for k in range(300)] + [(None, f"u{k} " * 10, "b", k) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _extra int")
+    got = corpus_pipeline.target_mix(spark, docs, "").collect()
+    assert all(r.text for r in got) and got[0].asDict().keys() == {"doc_id", "text", "source", "_extra"}
+    # a weighs 5 of 7 in 3900 words, b 2
+    assert abs(10 * sum(r.source == "a" for r in got) - 3900 * 5 / 7) <= 10
+    assert abs(10 * sum(r.source == "b" for r in got) - 3900 * 2 / 7) <= 10
