@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from libsight.llm import classifier, jaccard, mixing, packing, substrings
 from libsight.llm.texts import n_words
@@ -41,18 +41,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unwrapped(scored.where("predicted = 1"), docs)
 
 
+def _node() -> Column:
+    """A number for each different (doc_id, text)."""
+    return F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near copies.
+    """One document of every group of near copies, that with the least id (null ids last).
 
-    Rows without an id stay.  Of rows that share an id, the one whose text has the least hash
-    stays.
+    Every different (doc_id, text) is a document of its own, so of rows that share an id only near
+    copies go.  Of rows that are equal in both one stays.
     """
-    groups = jaccard.join_similar(docs)
-    drop = _small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = _wrapped(docs).join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-        kept = kept.withColumn("_one", one).where("_one = 1 or doc_id is null")
+    named = docs.withColumn("_node", _node())
+    groups = cut_lineage(
+        jaccard.join_similar(named.select(F.col("_node").alias("doc_id"), "text"))
+        .groupBy(F.col("doc_id").alias("_node")).agg(F.min("component_id").alias("_group"), F.count("*").alias("_rows")))
+    shared = groups.groupBy("_group").count().where("count > 1").select("_group")
+    members = groups.join(shared, "_group").select("_node", "_group")
+    least = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_node")
+    stays = (named.select("_node", "doc_id").join(members, "_node").groupBy("_group")
+             .agg(F.min(least)["_node"].alias("_node")).select("_node"))
+    drop = _small(members.select("_node").join(stays, "_node", "left_anti"))
+    kept = _wrapped(docs).withColumn("_node", _node()).join(drop, "_node", "left_anti")
+    again = groups.where("_rows > 1").select("_node")
+    if again.limit(1).count():
+        again = _small(again)
+        kept = (kept.join(again, "_node", "left_anti")
+                .unionByName(kept.join(again, "_node", "left_semi").dropDuplicates(["_node"])))
     return _unwrapped(kept, docs)
 
 
@@ -66,15 +81,22 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    copies = _small(mixing.mix(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("copies").alias("_copies")))
-    sized = _wrapped(docs).withColumn("_words", n_words())
-    joined = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))
+    """Every document as many times as the mix takes it; equal rows share out what they take together."""
+    wording = F.xxhash64("text")
+    key = ["_id", "_source", "_size", "_wording"]
+    taken = _small(mixing.mix(docs, wording=wording).where("copies > 0 or extra > 0").select(
+        *[F.col(c).alias(f"_{name}") for c, name in (("doc_id", "id"), ("source", "source"), ("size", "size"),
+                                                     ("wording", "wording"), ("copies", "copies"), ("extra", "extra"))]))
+    sized = _wrapped(docs).withColumns({"_words": n_words(), "_said": wording})
+    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))
                         & F.col("rest.source").cast("string").eqNullSafe(F.col("_source"))
-                        & (F.col("_words") == F.col("_size")))
-    return _unwrapped(joined.withColumn("_copy", F.explode(
+                        & (F.col("_words") == F.col("_size")) & (F.col("_said") == F.col("_wording")))
+    if taken.where("_extra > 0").limit(1).count():  # only rows that others equal are numbered
+        some = joined.where("_extra > 0").withColumn(
+            "_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+        joined = joined.where("_extra = 0").unionByName(some.withColumn(
+            "_copies", F.col("_copies") + (F.col("_row") <= F.col("_extra")).cast("int")).drop("_row"))
+    return _unwrapped(joined.where("_copies > 0").withColumn("_copy", F.explode(
         F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))), docs)
 
 
