@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from libsight.operators.transform import TextFn, model_map
+from libsight.session import cut_lineage
 from libsight.sources import payloads
 
 # How verdicts are shown.
@@ -63,6 +64,35 @@ def matrix(cells: DataFrame, papers: Sequence[str]) -> DataFrame:
     return wide.na.fill(MARKS["absent"])
 
 
+def matrix_lines(cells: DataFrame, claims: DataFrame, papers: DataFrame, columns: int = 500) -> DataFrame:
+    """The matrix as text, ``claim_id, cells``: a claim's cells in the order of the papers' keys.
+
+    ``papers`` (``item_key``) may be any number.  The matrix stays long, one row for each claim and block of
+    ``columns`` papers, until a claim's blocks are put in a line; row claim_id null has the papers
+    themselves.  Only the papers' keys are numbered in one task.
+    """
+    numbered = papers.select("item_key").distinct().withColumn("_n", F.row_number().over(Window.orderBy("item_key")))
+    numbered = cut_lineage(numbered.withColumn("_block", F.floor((F.col("_n") - 1) / columns)))
+    blocks = numbered.groupBy("_block").agg(F.array_sort(F.collect_list(
+        F.struct("_n", F.col("item_key").cast("string").alias("name")))).alias("_papers"))
+    n_blocks = -(-numbered.count() // columns)
+    note = F.when(F.col("evidence") != "", F.concat(
+        F.lit(" "), F.substring(F.replace("evidence", F.lit("|"), F.lit("")), 1, 90))).otherwise("")
+    marks = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
+    shown = (cells.join(numbered, "item_key").groupBy("claim_id", "_block", "_n")
+             .agg(F.min(F.concat(marks[F.col("verdict")], note)).alias("_cell"))
+             .groupBy("claim_id", "_block").agg(F.map_from_entries(F.collect_list(F.struct("_n", "_cell"))).alias("_cells")))
+    every = claims.select("claim_id").distinct().withColumn("_block", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")) if n_blocks else F.array().cast("array<bigint>")))
+    filled = every.join(blocks, "_block").join(shown, ["claim_id", "_block"], "left").select(
+        "claim_id", "_block", F.array_join(F.transform("_papers", lambda p: F.coalesce(
+            F.try_element_at("_cells", p["_n"]), F.lit(MARKS["absent"]))), " | ").alias("_part"))
+    head = blocks.select(F.lit(None).cast(claims.schema["claim_id"].dataType).alias("claim_id"), "_block",
+                         F.array_join(F.transform("_papers", lambda p: p["name"]), " | ").alias("_part"))
+    return filled.unionByName(head).groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("_block", "_part"))), lambda b: b["_part"]), " | ").alias("cells"))
+
+
 def conflicts(cells: DataFrame) -> DataFrame:
     """Contradicting papers per claim, one row each, and their number."""
     against = cells.where(F.col("verdict") == "contradicts").select("claim_id", "item_key")

@@ -182,6 +182,30 @@ def resample_heat(heat: Column | str, pages: Column | str | None = None,
     return F.transform(F.sequence(F.lit(0), buckets - 1), one)
 
 
+def heat_buckets(per_page: DataFrame, totals: DataFrame | None = None, most: int = 120) -> DataFrame:
+    """``item_key, bucket, heat``: as ``resample_heat``, from the pages that were read and no others.
+
+    ``per_page`` is ``item_pages``; ``totals`` (``item_key, num_pages``) gives the number of pages, else it is the
+    highest page read.  A page falls into the one or two buckets whose ranges hold it, so an item costs
+    what its pages cost, however high their numbers.  Buckets without heat have no row.
+    """
+    read = per_page.where((F.col("deciseconds") > 0) & (F.col("page") >= 0))
+    spans = read.groupBy("item_key").agg((F.max("page").cast("long") + 1).alias("_n"))
+    if totals is not None:
+        given = totals.select("item_key", F.col("num_pages").cast("long").alias("_given"))
+        spans = spans.join(given, "item_key", "left").select(
+            "item_key", F.when(F.col("_given") > 0, F.col("_given")).otherwise(F.col("_n")).alias("_n"))
+    buckets = F.least(F.col("_n"), F.lit(most).cast("long"))
+    near = F.floor(F.col("page") / F.col("_per"))
+    # rounding may shift a range by one bucket, so the neighbours are tried too
+    spread = (read.join(spans, "item_key").withColumn("_b", buckets).withColumn("_per", F.col("_n") / F.col("_b"))
+              .withColumn("bucket", F.explode(F.sequence(near - 1, near + 2))))
+    inside = ((F.col("bucket") >= 0) & (F.col("bucket") < F.col("_b"))
+              & (F.floor(F.col("bucket") * F.col("_per")) <= F.col("page"))
+              & (F.ceil((F.col("bucket") + 1) * F.col("_per")) > F.col("page")))
+    return spread.where(inside).groupBy("item_key", "bucket").agg((F.max("deciseconds") / 10).alias("heat"))
+
+
 def page_intensity(value: Column, top: Column) -> Column:
     """Ratio of a page to the hottest page, clamped for display."""
     return F.when((value > 0) & (top > 0), F.greatest(

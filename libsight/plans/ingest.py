@@ -355,11 +355,9 @@ SELECT '0' AS sort, '| Claim | ' || string_agg(CAST(item_key AS VARCHAR), ' | '
 UNION ALL SELECT '1', '| --- | ' || string_agg('---', ' | ') || ' |' FROM papers
 UNION ALL SELECT '2' || claim_id, '| ' || replace(claim, '|', '') || ' | ' || cells || ' |' FROM lines JOIN ({CLAIMS}) c2 USING (claim_id)""".replace("{CLAIMS}", CLAIMS))
 def claim_matrix(t: Tables) -> DataFrame:
-    # the sources are the papers: one column each, so they are few by nature
-    papers = [str(r[0]) for r in t.corpus.select("item_key").distinct().orderBy("item_key").collect()]
     found = _claims(t)
-    cells = _cells(t, found).withColumn("item_key", F.col("item_key").cast("string"))
-    return digests.claim_matrix(claims.matrix(cells, papers), found.select("claim_id", "claim"), papers)
+    lines = claims.matrix_lines(_cells(t, found), found, t.corpus, columns=7)
+    return digests.claim_lines(lines, found.select("claim_id", "claim"))
 
 
 def _pick_model(texts: list[str]) -> list[str]:

@@ -115,11 +115,8 @@ LEFT JOIN item_heat h USING (item_key)
 WHERE h.page >= floor(b * (n / least(n, 8))) AND h.page < ceil((b + 1) * (n / least(n, 8)))
 GROUP BY ALL HAVING max(ds) > 0""")
 def heat_resample(t: Tables) -> DataFrame:
-    summary = reading.item_summary(*_parts(t))
-    buckets = reading.resample_heat("heat", most=8)
-    return (summary.where(F.size("heat") > 0)
-            .select("item_key", F.posexplode(buckets).alias("bucket", "heat"))
-            .where("heat > 0").withColumn("bucket", F.col("bucket").cast("long")))
+    pages, _, owners = _parts(t)
+    return reading.heat_buckets(reading.item_pages(pages, owners), most=8)
 
 
 @query(CLOCK + """

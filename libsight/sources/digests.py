@@ -55,6 +55,18 @@ def claim_matrix(matrix: DataFrame, claims: DataFrame, papers: Sequence[str]) ->
     return _table_rows(body, ["Claim", *papers])
 
 
+def claim_lines(lines: DataFrame, claims: DataFrame) -> DataFrame:
+    """Markdown table lines from ``claims.matrix_lines``, for any number of papers."""
+    head = lines.where("claim_id is null").select("cells")
+    rule = F.regexp_replace(F.regexp_replace("cells", r"(?s)[^|]+", "---"), r"\|", " | ")
+    body = claims.join(lines, "claim_id").select(
+        F.concat(F.lit("2"), "claim_id").alias("sort"),
+        F.concat(F.lit("| "), _bare("claim"), F.lit(" | "), "cells", F.lit(" |")).alias("line"))
+    return (head.select(F.lit("0").alias("sort"), F.concat(F.lit("| Claim | "), "cells", F.lit(" |")).alias("line"))
+            .unionByName(head.select(F.lit("1").alias("sort"), F.concat(F.lit("| --- | "), rule, F.lit(" |")).alias("line")))
+            .unionByName(body))
+
+
 def watch_digest(fresh: DataFrame, watches: DataFrame) -> DataFrame:
     """One Markdown section per watch with its first new papers."""
     first = top_per_group(fresh, ["watch_id"], [F.col("finding_id")], FINDINGS, "position")

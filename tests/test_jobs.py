@@ -190,3 +190,20 @@ def test_a_reader_idle_for_long_is_forgotten(spark, folder):
     for rows in parts:
         got = _arrive(spark, rows, schema, folder, lambda s: keyed.days(keyed.credits(s, 20, idle_hours=1)))
     assert sorted((str(r.day), r.seconds, r.pages) for r in got) == [("2024-01-01", 15, 2), ("2024-01-05", 9, 2)]
+
+
+def test_claim_lines_in_column_blocks(spark):
+    """Any width of block gives the same lines; absent cells are filled, keys keep their own order."""
+    cells = spark.createDataFrame([("c1", 10, "supports", "x|y"), ("c1", 2, "absent", ""), ("c2", 30, "contradicts", "")],
+                                  "claim_id string, item_key int, verdict string, evidence string")
+    named = spark.createDataFrame([("c1", "one | claim"), ("c2", "two"), ("c3", "three")], "claim_id string, claim string")
+    papers = spark.createDataFrame([(2,), (10,), (30,), (10,)], "item_key int")
+    want = None
+    for columns in (1, 2, 500):
+        got = sorted(tuple(r) for r in digests.claim_lines(claims.matrix_lines(cells, named, papers, columns), named).collect())
+        assert want is None or got == want
+        want = got
+    marks = claims.MARKS
+    assert want[0] == ("0", "| Claim | 2 | 10 | 30 |") and want[1] == ("1", "| --- | --- | --- | --- |")
+    assert want[2][1].endswith(f"| {marks['absent']} | {marks['supports']} xy | {marks['absent']} |")
+    assert want[4][1] == "| three | " + " | ".join([marks["absent"]] * 3) + " |"

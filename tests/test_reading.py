@@ -164,3 +164,27 @@ def test_late_tick_does_not_set_the_clock_back(spark, folder):
              .option("path", f"{folder}/out2").trigger(availableNow=True).start())
     query.awaitTermination()
     assert sum(r.credit_ms or 0 for r in spark.read.parquet(f"{folder}/out2").collect()) == 12_000
+
+
+def test_heat_buckets_equal_the_dense_resampling(spark):
+    """Long rows give what the arrays give; a page number out of all bounds costs one row."""
+    rng = random.Random(12)
+    rows = [(item, page, rng.randint(0, 50)) for item in range(40) for page in rng.sample(range(1 + item * 9), min(1 + item * 9, 12))]
+    pages = spark.createDataFrame(rows, "item_key int, page int, deciseconds bigint")
+    heat = {}
+    for item, page, ds in rows:
+        if ds:
+            heat.setdefault(item, {})[page] = ds / 10
+    dense = spark.createDataFrame([(i, [h.get(p, 0.0) for p in range(max(h) + 1)]) for i, h in heat.items()],
+                                  "item_key int, heat array<double>")
+    for most in (1, 7, 120):
+        wide = dense.select("item_key", reading.resample_heat("heat", most=most).alias("b")).collect()
+        want = {(r.item_key, i, x) for r in wide for i, x in enumerate(r.b) if x > 0}
+        assert {tuple(r) for r in reading.heat_buckets(pages, most=most).collect()} == want
+    totals = spark.createDataFrame([(1, 500), (2, 0)], "item_key int, num_pages int")
+    wide = dense.join(totals, "item_key").select("item_key", reading.resample_heat("heat", "num_pages", 30).alias("b")).collect()
+    some = pages.join(totals.select("item_key"), "item_key", "left_semi")
+    assert {tuple(r) for r in reading.heat_buckets(some, totals, 30).collect()} == {
+        (r.item_key, i, x) for r in wide for i, x in enumerate(r.b) if x > 0}
+    odd = spark.createDataFrame([(1, 2**31 - 1, 5), (1, 0, 7), (1, -1, 9)], "item_key int, page int, deciseconds bigint")
+    assert sorted(tuple(r) for r in reading.heat_buckets(odd).collect()) == [(1, 0, 0.7), (1, 119, 0.5)]
