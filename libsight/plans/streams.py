@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from libsight.plans.reading import CAP, CLOCK, TODAY, _credits
 from libsight.plans.registry import Tables, query
 from libsight.session import checkpoint_dir, cut_lineage
+from libsight.sources import snapshots
 from libsight.streaming import clock, jobs, keyed, state
 
 
@@ -130,3 +131,28 @@ def stream_days(t: Tables) -> DataFrame:
     done = _kept_run(t.ticks, _early(t, F.to_date("ts")), lambda rows: keyed.days(keyed.credits(
         rows, CAP, idle_hours=24 * 400)))
     return done.select(F.col("day").cast("string").alias("day"), "seconds", "pages")
+
+
+@query(CLOCK + "SELECT tick_id, reader_id, pp AS credited_page, credit_ms, turned FROM clock "
+               "WHERE credit_ms IS NOT NULL OR turned")
+def tick_source(t: Tables) -> DataFrame:
+    """Poll logs land in four parts; the stream takes one log at a time and is stopped after three of them."""
+    spark = t.spark
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    keyed.use_state_store(spark)
+    polled = t.ticks
+    quarter = F.ntile(4).over(Window.orderBy("day"))
+    days = cut_lineage(polled.select(F.to_date("ts").alias("day")).distinct().withColumn("part", quarter))
+    dated = polled.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day")  # one row a day
+    for part in (1, 2, 3, 4):
+        snapshots.land_ticks(dated.where(F.col("part") == part), f"{base}/log")
+        if part < 3:
+            continue
+        arriving = snapshots.ticks(spark, f"{base}/log", streaming=True, form="json", files_per_batch=1)
+        out = keyed.credits(arriving, CAP, idle_hours=24 * 400)
+        (out.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    done = cut_lineage(spark.read.schema(out.schema).parquet(f"{base}/out"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return done.select("tick_id", "reader_id", "credited_page", "credit_ms", "turned")

@@ -89,10 +89,27 @@ TICKS = ("tick_id bigint, reader_id bigint, attachment_key bigint, item_key bigi
          "focused boolean, num_pages int, ts timestamp")
 
 
-def ticks(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Reading ticks of a folder, as a backfill or as a stream."""
+def ticks(spark: SparkSession, path: str, streaming: bool = False, form: str = "parquet",
+          files_per_batch: int | None = None) -> DataFrame:
+    """Reading ticks of a folder of poll logs, as a backfill or as a stream.
+
+    Logs are Parquet files, or with ``form="json"`` one JSON object a line; a line that is no tick is left out.
+    A stream takes the files in the order they landed, ``files_per_batch`` at a time (all that are new
+    without it), and its checkpoint says where to go on; a new checkpoint replays the folder.
+    """
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(TICKS).parquet(path)
+    if streaming and files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if form == "json":
+        reader = reader.option("mode", "DROPMALFORMED").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")
+    rows = reader.schema(TICKS).format(form).load(path)
+    return rows.where("reader_id is not null and ts is not null")
+
+
+def land_ticks(polled: DataFrame, path: str) -> None:
+    """Append polled ticks to the folder's logs as one JSON file that streams take as a whole."""
+    (polled.select(*[f.split()[0] for f in TICKS.split(", ")]).coalesce(1).write.mode("append")
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path))
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:

@@ -207,3 +207,26 @@ def test_claim_lines_in_column_blocks(spark):
     assert want[0] == ("0", "| Claim | 2 | 10 | 30 |") and want[1] == ("1", "| --- | --- | --- | --- |")
     assert want[2][1].endswith(f"| {marks['absent']} | {marks['supports']} xy | {marks['absent']} |")
     assert want[4][1] == "| three | " + " | ".join([marks["absent"]] * 3) + " |"
+
+
+def test_tick_logs_resume_where_they_stopped(spark, folder):
+    """One log a batch; malformed lines drop; a backfill of the folder reads the same rows."""
+    from libsight.sources import snapshots
+    schema = snapshots.TICKS
+    part = lambda n: spark.createDataFrame(
+        [(n * 10 + i, 1, 1, 1, i, True, 9, dt.datetime(2024, 1, 1 + n, 10, 0, i, 123456)) for i in range(3)], schema)
+    seen = []
+    for stop in ((0, 1), (2,)):
+        for n in stop:
+            snapshots.land_ticks(part(n), f"{folder}/log")
+        if 1 in stop:
+            with open(f"{folder}/log/x-broken.json", "w") as f:
+                f.write('{"tick_id": 7, "rea\n{"tick_id": 8}\n')
+        stream = snapshots.ticks(spark, f"{folder}/log", streaming=True, form="json", files_per_batch=1)
+        batches = []
+        (stream.writeStream.foreachBatch(lambda df, i: batches.append([r.tick_id for r in df.orderBy("tick_id").collect()]))
+         .option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination())
+        seen.append([b for b in batches if b])
+    assert seen == [[[0, 1, 2], [10, 11, 12]], [[20, 21, 22]]]
+    back = snapshots.ticks(spark, f"{folder}/log", form="json")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for n in range(3) for r in part(n).collect())
