@@ -8,6 +8,7 @@ from libsight.functions import text as tx
 from libsight.operators import annotations as anno
 from libsight.operators import claims, context, passages, prompts, search, transform
 from libsight.plans.library import HITS, RULES, _annotations
+from libsight.plans.texts import KEYED
 from libsight.plans.registry import Tables, query
 from libsight.plans.retrieval import BM25, _documents_as_items
 from libsight.plans.texts import SENTENCES
@@ -371,7 +372,14 @@ def _pick_model(texts: list[str]) -> list[str]:
     return out
 
 
-@query()
+@query(f"""WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+pages AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS page, unnest(l) AS text FROM lines),
+picked AS (SELECT doc_id, page, text, CASE WHEN length(text) > 8360 THEN substring(text, 1, 8360) ELSE text END AS said
+  FROM pages WHERE page % 6 = 0),
+placed AS (SELECT doc_id, page, trim(said) AS quote, {KEYED.format("trim(said)")} AS k, {KEYED.format("text")} AS body
+  FROM picked WHERE length(said) > 8)
+SELECT doc_id, quote, 'first' AS comment, page, CASE WHEN length(k) >= 8 AND instr(body, k) > 0 THEN 'highlight' ELSE 'note' END AS kind,
+CASE WHEN length(k) >= 8 AND instr(body, k) > 0 THEN CAST(instr(body, k) - 1 AS INT) ELSE 0 END AS "offset" FROM placed""")
 def picked_passages(t: Tables) -> DataFrame:
     pages = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
     return passages.anchor(passages.pick(pages, _pick_model), pages)
