@@ -149,7 +149,7 @@ def distinct_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
 _REPLIES = "text_hash string, text string, value string, error string, fatal boolean"
 #: Ends of the waves in 64ths of the texts.
-_WAVES = (2, 16, 64)
+_WAVES = (4, 64)
 
 
 def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
@@ -188,9 +188,9 @@ def run_in_waves(pending: DataFrame, engine: Engine) -> DataFrame:
     One batch of texts is the probe; growing waves of the others follow.  A wave starts only if
     those before met no fatal cause, so an engine that is dead gets the probe, and one that
     dies later the calls of its wave, however many tasks there are.  Texts not sent have the cause
-    as ``error``.
+    as ``error``.  ``pending`` is read once a wave and should be checkpointed.
     """
-    pending = cut_lineage(pending.select("text_hash", "text"))
+    pending = pending.select("text_hash", "text")
     first = pending.orderBy("text_hash").limit(engine.batch)
     probed = cut_lineage(run_engine(first.coalesce(1), engine))
     place = F.pmod(F.xxhash64("text_hash"), F.lit(_WAVES[-1]))
@@ -229,6 +229,7 @@ def translate_texts(texts: DataFrame, engines: Sequence[Engine], chosen: str, la
         looked = cache_lookup(texts, cache, chosen, lang)
     else:
         looked = texts.withColumn("value", F.lit(None).cast("string"))
+    looked = cut_lineage(looked)
     hits = looked.where("value is not null").select(
         "text_hash", "text", "value", F.lit(chosen).alias("engine"),
         F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached"))
