@@ -422,7 +422,7 @@ def paper_digest(t: Tables) -> DataFrame:
     return digests.paper_digest(papers, marks, "lib/open")
 
 
-@query()
+@query(ITEM_CHUNKS + "SELECT chunk_id, item_key, page, greatest(length(text), 1) / 127 AS scale, 2 AS dims FROM built")
 def embedded_index(t: Tables) -> DataFrame:
     chunks = search.build_chunks(_documents_as_items(t))
     embedded = transform.embed(chunks, lambda texts: [[float(len(s)), 1.0] for s in texts])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from libsight.functions import text as tx, vectors
 from libsight.operators import cells, context, review, search, store, watch
 from libsight.plans.registry import Tables, query
+from libsight.plans.texts import ITEM_CHUNKS
 from libsight.session import checkpoint_dir, cut_lineage
 
 TODAY = "2024-01-30"
@@ -325,7 +326,7 @@ def _documents_as_items(t: Tables) -> DataFrame:
                               .alias("meta"), F.array("text").alias("pages"))
 
 
-@query()
+@query(ITEM_CHUNKS + "SELECT * FROM built WHERE item_key NOT IN (SELECT doc_id FROM labels)")
 def build_chunks(t: Tables) -> DataFrame:
     indexed = t.labels.select(F.col("doc_id").alias("item_key"))
     return search.build_chunks(_documents_as_items(t), indexed)

@@ -216,7 +216,36 @@ def annotation_sort_keys(t: Tables) -> DataFrame:
     return passages.sort_keys(anchored).select("quote_id", "sort_key")
 
 
-@query()
+def chunks_sql(pages: str, wanted: str) -> str:
+    """``wanted`` over ``chunks(key, n, page, text)``: pieces of ``pages(key, page, body)`` packed one after the other."""
+    paras = rf"""list_filter(list_transform(regexp_split_to_array(body, '\n\s*\n+'), lambda p:
+  regexp_replace(regexp_replace(p, '\s*\n\s*', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g')), lambda p: p <> '')"""
+    return f"""WITH RECURSIVE pages AS ({pages}),
+paras AS (SELECT key, page, unnest(ps) AS text, unnest(range(len(ps))) AS para FROM (SELECT key, page, {paras} AS ps FROM pages) x),
+split AS (SELECT key, page, para, length(text) > 1200 AS long, CASE WHEN length(text) > 1200 THEN {SENTENCES} ELSE [text] END AS parts FROM paras),
+pieces AS (SELECT key, page, part, CASE WHEN long THEN ' ' ELSE chr(10) || chr(10) END AS gap, row_number() OVER (PARTITION BY key ORDER BY page, para, j) AS i
+  FROM (SELECT key, page, para, long, unnest(parts) AS part, unnest(range(len(parts))) AS j FROM split) x),
+pack AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, '' AS held, CAST(0 AS BIGINT) AS page, CAST(NULL AS VARCHAR) AS done, CAST(0 AS BIGINT) AS done_page FROM pieces
+  UNION ALL SELECT key, i, CASE WHEN spills THEN right(held, 160) ELSE held END || part || gap, CASE WHEN spills THEN next ELSE page END,
+    CASE WHEN spills THEN held END, page
+  FROM (SELECT k.key, p.i, k.held, k.page, p.page AS next, part, gap, length(k.held) + length(part) > 1200 AS spills
+        FROM pack k JOIN pieces p ON p.key = k.key AND p.i = k.i + 1) x),
+emitted AS (SELECT key, i, done_page AS page, done AS body FROM pack WHERE done IS NOT NULL
+  UNION ALL SELECT key, max(i) + 1, arg_max(page, i), arg_max(held, i) FROM pack GROUP BY key),
+chunks AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS INT) AS n, CAST(page AS INT) AS page, text
+  FROM (SELECT key, i, page, regexp_replace(body, '^{WS}+|{WS}+$', '', 'g') AS text FROM emitted) x WHERE length(text) >= 24)
+{wanted}"""
+
+
+#: Documents as items with a line of metadata, as the index build takes them.
+ITEM_CHUNKS = chunks_sql("""SELECT doc_id AS key, 0 AS page, CASE WHEN coalesce(text, '') <> '' THEN text
+  ELSE 'Title: document ' || doc_id END AS body FROM documents""", """, headed AS (SELECT doc_id AS key, coalesce(text, '') <> '' AS shift FROM documents),
+built AS (SELECT key || ':' || (n + shift::INT) AS chunk_id, key AS item_key, page, text FROM chunks JOIN headed USING (key)
+  UNION ALL SELECT key || ':0', key, -1, 'Title: document ' || key FROM headed WHERE shift)""")
+
+
+@query(chunks_sql("""SELECT doc_id AS key, unnest(range(len(lines))) AS page, unnest(lines) AS body
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) d""", "SELECT key AS doc_id, n, page, text FROM chunks"))
 def chunk_text(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.split("text", "\n").alias("pages"))
     return search.chunk_text(docs, key="doc_id")

@@ -78,8 +78,9 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
             F.date_add(F.lit("1970-01-01").cast("date"), F.col("v.due").cast("int")).alias("due"),
             "v.step", "v.lapses", "v.reviews", F.col("v.lastGrade").alias("last_grade"))
     if kind == "index":
-        codes = F.transform(F.sequence(F.lit(1), F.length(F.unbase64("c.v"))), lambda i: F.conv(
-            F.hex(F.substring(F.unbase64("c.v"), i, F.lit(1))), 16, 10).cast("int"))
+        # one decoding a chunk: the bytes are a bound variable, not an expression repeated per code
+        codes = F.transform(F.array(F.unbase64("c.v")), lambda raw: F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(
+            F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))[0]
         signed = F.transform(codes, lambda b: F.when(b > 127, b - 256).otherwise(b).cast("tinyint"))
         return rows.select(
             "library_id", "model", "dims", F.col("c.id").alias("chunk_id"),
