@@ -8,10 +8,9 @@ from libsight.functions import text as tx
 from libsight.operators import annotations as anno
 from libsight.operators import claims, context, passages, prompts, search, transform
 from libsight.plans.library import HITS, RULES, _annotations
-from libsight.plans.texts import KEYED
+from libsight.plans.texts import ITEM_CHUNKS, KEYED, SENTENCES
 from libsight.plans.registry import Tables, query
 from libsight.plans.retrieval import BM25, _documents_as_items
-from libsight.plans.texts import SENTENCES
 from libsight.sources import digests, payloads
 
 

@@ -328,3 +328,73 @@ def watch_registry(t: Tables) -> DataFrame:
     blank = t.items.select(F.lit("  ").alias("query"))
     gone = t.items.where("item_key % 5 = 0").select(name.alias("watch_id"))
     return watch.remove_watches(watch.add_query_watches(both, blank), gone).select("watch_id", "label")
+
+
+# --- kinds of text, over every line of the documents with signs of one kind put to it by line number
+
+LINED = """SELECT doc_id, n, CASE n % 7 WHEN 0 THEN line WHEN 1 THEN concat('X', replace(line, ' ', ', X'))
+WHEN 2 THEN concat('1 Department of ', line, ', 12345') WHEN 3 THEN concat(replace(line, ' ', ' = '), ' + (3)')
+WHEN 4 THEN concat('doi 10.1/', line) WHEN 5 THEN concat(CAST(length(line) AS STRING), '.', CAST(n AS STRING), ' ', line)
+ELSE concat('2', CAST(length(line) AS STRING), ' x (7)') END AS text FROM lines"""
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _found(text: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, {_sql(p)})" for p in patterns) + ")"
+
+
+def _times(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({text}, {_sql(pattern)}))"
+
+
+ANY_MARK = r"[=+×÷±∓<>≤≥≈≠∝∈∉⊂⊆∀∃∧∨¬∑∏∫∬∮√∂∇∞→←↔⇒⇔·⋅∥|^_{}\[\]⎧⎨⎩⎪⎫⎬⎭]"
+KINDS = rf"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d),
+lined AS ({LINED}),
+facts AS (SELECT *, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS s, regexp_replace(text, '{WS}+', '', 'g') AS c FROM lined),
+figures AS (SELECT *, length(c) AS size, {_times("text", r"[\p{L}]{4,}")} AS words, {_times("c", ANY_MARK)} AS math, {_times("c", "[α-ωΑ-Ω]")} AS greek,
+  {_times("c", r"[\p{Nd}]")} AS digits, list_filter(regexp_split_to_array(s, '[\s\x{{a0}},]+'), lambda w: w <> '') AS w,
+  regexp_matches(s, {_sql(blocks.AFFILIATION)}) AS place FROM facts)
+SELECT doc_id, CAST(n AS INT) AS n,
+size >= 2 AND ((regexp_matches(c, {_sql(blocks.BIG_MATH)}) AND words <= 6) OR ((math + greek) / size > 0.14 AND words <= 2)
+  OR (regexp_matches(s, {_sql(blocks.EQUATION_NUMBER)}) AND words <= 4 AND math >= 2)
+  OR (words <= 1 AND digits / size > 0.25) OR (words <= 3 AND digits / size > 0.35) OR digits / size > 0.5) AS formula,
+s = '' OR {_found("s", blocks.FURNITURE)}
+  OR (place AND length(s) < 220 AND NOT regexp_matches(s, '\.{WS}+[\p{{Lu}}]') AND {_found("s", blocks.ADDRESS_SIGNS)})
+  OR (place AND length(s) < 140 AND regexp_matches(s, ',$')) AS furniture,
+s = '' OR {_found("s", blocks.FURNITURE)} OR (place AND length(s) < 220 AND NOT regexp_matches(s, '\.{WS}+[\p{{Lu}}]') AND {_found("s", blocks.ADDRESS_SIGNS)})
+  OR (length(s) < 140 AND (NOT regexp_matches(s, '[.!?]{WS}+[\p{{Lu}}]') OR (place AND regexp_matches(s, ',$')))) AS edge,
+length(s) BETWEEN 6 AND 220 AND NOT regexp_matches(s, '[.!?]{WS}+[\p{{Lu}}]') AND len(w) BETWEEN 2 AND 40
+  AND len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Lu}}]'))) / len(w) > 0.6 AND contains(s, ',')
+  AND len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Ll}}]{{4,}}$'))) <= 1 AS authors
+FROM figures"""
+
+
+@query(KINDS)
+def text_kinds(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    marked = t.spark.sql(LINED.replace("FROM lines", "FROM {lines}"), lines=lines)
+    return marked.select("doc_id", "n", blocks.is_formula("text").alias("formula"), blocks.is_furniture("text").alias("furniture"),
+                         blocks.is_furniture("text", F.lit(True)).alias("edge"), blocks.looks_like_authors("text").alias("authors"))
+
+
+def _cut_sql(rest: str, target: str) -> str:
+    """Where ``rest`` is cut: after the mark nearest to the target, a later one first."""
+    goal = f"greatest(1, least(length({rest}) - 1, {target}))"
+    reach = f"greatest(8, CAST(floor(length({rest}) * 0.18 + 0.5) AS BIGINT))"
+    return f"""coalesce(list_min(list_transform(list_filter(range(greatest(1, {goal} - {reach}), least(length({rest}), {goal} + {reach} + 1)),
+  lambda i: instr('{blocks.BREAK_MARKS}', {rest}[i]) > 0), lambda i: {{'far': abs(i - {goal}), 'before': i < {goal}, 'at': i}})).at, {goal})"""
+
+
+@query(f"""WITH one AS (SELECT doc_id, text, {_cut_sql("text", "CAST(floor(0.25 * length(text) + 0.5) AS BIGINT)")} AS a FROM documents),
+rests AS (SELECT *, substring(text, a + 1) AS rest FROM one),
+two AS (SELECT *, {_cut_sql("rest", "CAST(floor(0.75 * length(text) + 0.5) AS BIGINT) - a")} AS b FROM rests),
+cut AS (SELECT doc_id, [substring(text, 1, a), substring(rest, 1, b), substring(rest, b + 1)] AS p FROM two)
+SELECT doc_id, CAST(unnest([0, 1, 2]) AS INT) AS pos, regexp_replace(unnest(p), '^{WS}+|{WS}+$', '', 'g') AS piece FROM cut""")
+def split_pieces(t: Tables) -> DataFrame:
+    """Every text dealt to three boxes of sizes 1, 2 and 1."""
+    weights = F.array(F.lit(1.0), F.lit(2.0), F.lit(1.0))
+    return t.documents.where("text is not null").select("doc_id", F.posexplode(blocks.split_across("text", weights)).alias("pos", "piece"))
