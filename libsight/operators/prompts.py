@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from libsight.functions.ordered import broadcast_if_small
 from libsight.operators.transform import TextFn, model_map
 
 #: prompt id, what context it takes, instruction; ``{context}`` marks the place of the context.
@@ -45,3 +46,13 @@ def run(contexts: DataFrame, prompts: DataFrame, prompt_id: str, fn: TextFn, mod
         tasks: int | None = None) -> DataFrame:
     """Summary, outline, digest, template or tag job: one answer per context row."""
     return model_map(rendered(contexts, prompts, prompt_id), fn, "prompt", model, prompt_id, tasks=tasks)
+
+
+def run_each(contexts: DataFrame, prompts: DataFrame, fn: TextFn, model: str = "", tasks: int | None = None) -> DataFrame:
+    """Every prompt over every context of the kind it takes (``context_kind, context``): ``prompt_id`` and one answer a row.
+
+    A context of a kind no prompt takes has no row, nor has a null context.
+    """
+    joined = contexts.where("context is not null").join(broadcast_if_small(prompts), "context_kind")
+    asked = joined.withColumn("prompt", F.replace("body", F.lit("{context}"), F.col("context"))).drop("body", "context")
+    return model_map(asked, fn, "prompt", model, F.col("prompt_id"), tasks=tasks)

@@ -44,7 +44,7 @@ def _groups(values: Sequence, size: int) -> Iterator[Sequence]:
 
 # --- model map
 
-def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id: str = "",
+def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id: str | Column = "",
               batch: int = 1, tasks: int | None = None, keep: bool = True) -> DataFrame:
     """One answer per row; a failing row carries its error instead of failing the job.
 

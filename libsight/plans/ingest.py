@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from libsight.functions import text as tx
@@ -277,6 +279,38 @@ def prompt_job(t: Tables) -> DataFrame:
     return done.select("item_key", "answer")
 
 
+def _measured(texts: list[str]) -> list[str]:
+    return [f"{len(text)}: {text}" for text in texts]
+
+
+PROMPTS = ", ".join("('{}', '{}', '{}')".format(i, kind, body.replace("'", "''").replace("\n", "' || chr(10) || '"))
+                    for i, kind, body in prompts.BUILTIN)
+
+
+@query(f"""WITH prompts(prompt_id, kind, body) AS (VALUES {PROMPTS}),
+contexts AS (SELECT 'fulltext' AS kind, doc_id AS key, text AS context FROM documents
+  UNION ALL SELECT 'page', doc_id * 1000 + unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d
+  UNION ALL SELECT 'selection', item_id, text FROM benchmark UNION ALL SELECT 'library', item_id, '[1] ' || text FROM benchmark
+  UNION ALL SELECT 'abstract', item_key, title || chr(10) || 'on ' || venue FROM items
+  UNION ALL SELECT 'annotations', annotation_key, text FROM annotations),
+asked AS (SELECT kind AS context_kind, CAST(key AS BIGINT) AS key, prompt_id, replace(body, '{{context}}', context) AS prompt FROM contexts JOIN prompts USING (kind))
+SELECT context_kind, key, prompt_id, length(prompt) || ': ' || prompt AS answer FROM asked WHERE prompt IS NOT NULL""")
+def prompt_jobs(t: Tables) -> DataFrame:
+    """All built-in prompts, each over the contexts it takes: whole texts, their lines, passages, items and annotations."""
+    def of(kind: str, rows: DataFrame, key, text) -> DataFrame:
+        return rows.select(F.lit(kind).alias("context_kind"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("context"))
+
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn(
+        "key", F.col("doc_id") * 1000 + F.col("n"))
+    numbered = t.benchmark.withColumn("excerpt", F.concat(F.lit("[1] "), "text"))
+    items = t.items.withColumn("abstract", F.concat("title", F.lit("\non "), "venue"))
+    contexts = functools.reduce(DataFrame.unionByName, [
+        of("fulltext", t.documents, "doc_id", "text"), of("page", lines, "key", "line"), of("selection", t.benchmark, "item_id", "text"),
+        of("library", numbered, "item_id", "excerpt"), of("abstract", items, "item_key", "abstract"),
+        of("annotations", t.annotations, "annotation_key", "text")])
+    return prompts.run_each(contexts, prompts.table(t.spark), _measured).select("context_kind", "key", "prompt_id", "answer")
+
+
 def _claim_model(texts: list[str]) -> list[str]:
     """Stand-in: claims six words of the paper at a time, four claims in all."""
     import json

@@ -291,3 +291,12 @@ def test_skew_join_of_equal_rows_and_map_columns(spark):
     small = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     got = skew_join(big, small, ["k"], hot_rows=10, splits=4).groupBy("k", "v").count().collect()
     assert sorted(tuple(r) for r in got) == [("a", 1, 40), ("b", 2, 2)]
+
+
+def test_every_prompt_of_a_kind_runs(spark):
+    from libsight.operators import prompts
+    contexts = spark.createDataFrame([("page", "p one"), ("page", None), ("abstract", "a"), ("unknown", "u")], "context_kind string, context string")
+    custom = spark.createDataFrame([("tag-suggest", "abstract", "Tags: {context}")], "prompt_id string, context_kind string, body string")
+    done = prompts.run_each(contexts, prompts.table(spark, custom), lambda texts: [t.upper() for t in texts], "m").collect()
+    assert sorted((r.prompt_id, r.answer.split("\n")[-1], r.model) for r in done) == [
+        ("page-figure", "P ONE", "m"), ("page-summary", "P ONE", "m"), ("tag-suggest", "TAGS: A", "m")]
