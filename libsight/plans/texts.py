@@ -351,26 +351,32 @@ def _times(text: str, pattern: str) -> str:
 
 
 ANY_MARK = r"[=+×÷±∓<>≤≥≈≠∝∈∉⊂⊆∀∃∧∨¬∑∏∫∬∮√∂∇∞→←↔⇒⇔·⋅∥|^_{}\[\]⎧⎨⎩⎪⎫⎬⎭]"
-KINDS = rf"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (
-  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d),
-lined AS ({LINED}),
-facts AS (SELECT *, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS s, regexp_replace(text, '{WS}+', '', 'g') AS c FROM lined),
-figures AS (SELECT *, length(c) AS size, {_times("text", r"[\p{L}]{4,}")} AS words, {_times("c", ANY_MARK)} AS math, {_times("c", "[α-ωΑ-Ω]")} AS greek,
+ADDRESS = rf"""(place AND length(s) < 220 AND NOT regexp_matches(s, '\.{WS}+[\p{{Lu}}]') AND {_found("s", blocks.ADDRESS_SIGNS)})"""
+
+
+def kinds_sql(source: str, name: str) -> str:
+    """Table ``name``: the rows of ``source`` with what their ``text`` is, stated over counts of signs."""
+    return rf"""{name}_read AS (SELECT *, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS s, regexp_replace(text, '{WS}+', '', 'g') AS c FROM {source}),
+{name}_counts AS (SELECT *, length(c) AS size, {_times("text", r"[\p{L}]{4,}")} AS words, {_times("c", ANY_MARK)} AS math, {_times("c", "[α-ωΑ-Ω]")} AS greek,
   {_times("c", r"[\p{Nd}]")} AS digits, list_filter(regexp_split_to_array(s, '[\s\x{{a0}},]+'), lambda w: w <> '') AS w,
-  regexp_matches(s, {_sql(blocks.AFFILIATION)}) AS place FROM facts)
-SELECT doc_id, CAST(n AS INT) AS n,
-size >= 2 AND ((regexp_matches(c, {_sql(blocks.BIG_MATH)}) AND words <= 6) OR ((math + greek) / size > 0.14 AND words <= 2)
+  regexp_matches(s, {_sql(blocks.AFFILIATION)}) AS place, {_found("s", blocks.FURNITURE)} AS notice FROM {name}_read),
+{name} AS (SELECT *, size >= 2 AND ((regexp_matches(c, {_sql(blocks.BIG_MATH)}) AND words <= 6) OR ((math + greek) / size > 0.14 AND words <= 2)
   OR (regexp_matches(s, {_sql(blocks.EQUATION_NUMBER)}) AND words <= 4 AND math >= 2)
   OR (words <= 1 AND digits / size > 0.25) OR (words <= 3 AND digits / size > 0.35) OR digits / size > 0.5) AS formula,
-s = '' OR {_found("s", blocks.FURNITURE)}
-  OR (place AND length(s) < 220 AND NOT regexp_matches(s, '\.{WS}+[\p{{Lu}}]') AND {_found("s", blocks.ADDRESS_SIGNS)})
-  OR (place AND length(s) < 140 AND regexp_matches(s, ',$')) AS furniture,
-s = '' OR {_found("s", blocks.FURNITURE)} OR (place AND length(s) < 220 AND NOT regexp_matches(s, '\.{WS}+[\p{{Lu}}]') AND {_found("s", blocks.ADDRESS_SIGNS)})
+s = '' OR notice OR {ADDRESS} OR (place AND length(s) < 140 AND regexp_matches(s, ',$')) AS furniture,
+s = '' OR notice OR {ADDRESS}
   OR (length(s) < 140 AND (NOT regexp_matches(s, '[.!?]{WS}+[\p{{Lu}}]') OR (place AND regexp_matches(s, ',$')))) AS edge,
 length(s) BETWEEN 6 AND 220 AND NOT regexp_matches(s, '[.!?]{WS}+[\p{{Lu}}]') AND len(w) BETWEEN 2 AND 40
   AND len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Lu}}]'))) / len(w) > 0.6 AND contains(s, ',')
   AND len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Ll}}]{{4,}}$'))) <= 1 AS authors
-FROM figures"""
+FROM {name}_counts)"""
+
+
+KINDS = f"""WITH lines AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d),
+lined AS ({LINED}),
+{kinds_sql("lined", "told")}
+SELECT doc_id, CAST(n AS INT) AS n, formula, furniture, edge, authors FROM told"""
 
 
 @query(KINDS)
