@@ -99,7 +99,8 @@ def split_sentences(c: Column | str) -> Column:
     abbreviated = rf"(?<!\b(?i:{'|'.join(ABBREVIATIONS)})\.)"
     boundary = rf"(?<=[.!?。！？；;]){abbreviated} +|(?<=[。！？；])"
     pieces = F.split(squeeze(c), boundary)
-    return F.filter(F.transform(pieces, F.trim), lambda s: s != "")
+    # a lambda of one name: F.trim itself would be given the position as characters to trim
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_paragraphs(c: Column | str) -> Column:

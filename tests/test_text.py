@@ -144,3 +144,7 @@ def test_affiliations_end_at_a_full_stop_only(spark):
                                 ("Keywords : none",)], "t string")
     assert [r[0] for r in df.select(blocks.is_furniture("t")).collect()][:2] == [True, False]
     assert blocks.wide(r"^a\s[\s.]\\s") == rf"^a[{blocks.SPACE}][{blocks.SPACE}.]\\s"
+
+
+def test_sentences_keep_digits_equal_to_their_position(spark):
+    assert value(spark, tx.split_sentences("t"), t="One. 1.2 was 11. 28.68.19.2 left") == ["One.", "1.2 was 11.", "28.68.19.2 left"]
