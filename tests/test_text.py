@@ -148,3 +148,12 @@ def test_affiliations_end_at_a_full_stop_only(spark):
 
 def test_sentences_keep_digits_equal_to_their_position(spark):
     assert value(spark, tx.split_sentences("t"), t="One. 1.2 was 11. 28.68.19.2 left") == ["One.", "1.2 was 11.", "28.68.19.2 left"]
+
+
+def test_furniture_of_many_names(spark):
+    # a loop that takes stack for each name overflows on these
+    names = "Anna B.-Lee, " * 20000
+    assert value(spark, blocks.is_furniture("t"), t=names + "Cole") is False
+    assert value(spark, blocks.is_furniture("t"), t=names + "Cole : A title long enough") is True
+    assert value(spark, blocks.is_furniture("t"), t="Anna Lee , Cole: A title long enough") is True
+    assert value(spark, blocks.is_furniture("t"), t="Anna Lee, Cole: title not in capitals") is False
