@@ -250,8 +250,9 @@ FROM (SELECT doc_id, page, unnest(range(len(p))) AS pair_no, unnest(p) AS origin
         SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b WHERE trim(text) <> '') c) d) e""")
 def bilingual_pairs(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    done = transform.translate(lines, [transform.Engine("shout", _shout)], "shout", "en")
-    return transform.bilingual_pairs(done)
+    # the pairs of every line, so this engine refuses none
+    marked = transform.Engine("marked", lambda texts: [s.replace("e", "E") for s in texts])
+    return transform.bilingual_pairs(transform.translate(lines, [marked], "marked", "en"))
 
 
 @query("""SELECT annotation_key, '[explained] sEt ' || item_key AS comment FROM annotations WHERE item_key IS NOT NULL""")
