@@ -38,6 +38,19 @@ def squeeze(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"[{SPACE}]+", " ")
 
 
+#: Characters whose upper case is longer, and the single one that stands for it, else themselves.
+_LONGER = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+_SINGLE = "".join("\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in _LONGER)
+
+
+def upper(c: Column | str) -> Column:
+    """Upper case character by character, so that no text changes its length (``ß`` becomes ``ẞ``)."""
+    text = col(c)
+    pieces = F.regexp_extract_all(text, F.lit(f"([{_LONGER}]+|[^{_LONGER}]+)"), F.lit(1))
+    each = F.transform(pieces, lambda p: F.when(p.rlike(f"^[{_LONGER}]"), F.translate(p, _LONGER, _SINGLE)).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{_LONGER}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
+
 def utf16_length(c: Column | str) -> Column:
     """Length in UTF-16 units; differs from ``length`` on astral characters only."""
     return (F.octet_length(F.encode(col(c), "UTF-16BE")) / 2).cast("int")

@@ -292,7 +292,7 @@ def not_indexed(t: Tables) -> DataFrame:
 WHERE item_key NOT IN (SELECT item_key FROM corpus WHERE contains(text, 'Re er'))
 UNION ALL SELECT chunk_id, item_key, upper(text) FROM corpus WHERE contains(text, 'Re er')""")
 def index_upsert(t: Tables) -> DataFrame:
-    incoming = t.corpus.where(F.contains("text", F.lit("Re er"))).withColumn("text", F.upper("text"))
+    incoming = t.corpus.where(F.contains("text", F.lit("Re er"))).withColumn("text", tx.upper("text"))
     return search.upsert(t.corpus, incoming)
 
 

@@ -157,3 +157,8 @@ def test_furniture_of_many_names(spark):
     assert value(spark, blocks.is_furniture("t"), t=names + "Cole : A title long enough") is True
     assert value(spark, blocks.is_furniture("t"), t="Anna Lee , Cole: A title long enough") is True
     assert value(spark, blocks.is_furniture("t"), t="Anna Lee, Cole: title not in capitals") is False
+
+
+def test_upper_keeps_the_number_of_characters(spark):
+    assert value(spark, tx.upper("t"), t="Straße, ŉ ᾳß ﬁ zü") == "STRAẞE, ŉ ᾼẞ ﬁ ZÜ"
+    assert value(spark, tx.upper("t"), t="zü\n") == "ZÜ\n"
