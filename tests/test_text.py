@@ -1,5 +1,6 @@
 """Text, rule, key, vector and bibliography functions on hand-worked values."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from libsight.functions import bibliography, blocks, keys, rules, text as tx, vectors
@@ -162,3 +163,9 @@ def test_furniture_of_many_names(spark):
 def test_upper_keeps_the_number_of_characters(spark):
     assert value(spark, tx.upper("t"), t="Straße, ŉ ᾳß ﬁ zü") == "STRAẞE, ŉ ᾼẞ ﬁ ZÜ"
     assert value(spark, tx.upper("t"), t="zü\n") == "ZÜ\n"
+
+
+def test_edge_of_a_line_without_width():
+    from libsight.operators import layout
+    x, r, column = np.array([5.0, 50.0, 50.0]), np.array([5.0, 90.0, 80.0]), np.array([0, 0, 0])
+    assert layout._column_edges(x, r, column) == [5.0, 90.0, 90.0]
