@@ -248,6 +248,21 @@ def test_columns_do_not_weld(spark):
     assert [p.text.split()[0] for p in paras] == ["left", "right"] and [p.lines for p in paras] == [25, 25]
 
 
+def test_marker_alone_on_its_line_drops(spark):
+    run = [("d", 0, 612.0, 792.0, n, text, 1.0, 0.0, x, y, 20.0, height) for n, (text, x, y, height) in enumerate(
+        [("body", 60.0, 700.0, 10.0), ("of", 83.0, 700.0, 10.0), ("2", 103.2, 703.0, 6.0), ("*", 300.0, 700.0, 6.0), ("more", 60.0, 680.0, 10.0)])]
+    runs = layout.ingest_runs(spark.createDataFrame(run, RUNS))
+    found = layout.run_lines(runs).orderBy("line_no").collect()
+    assert [(r.line_no, r.text, r.x, r.width, r.cells) for r in found] == [(1, "body of", 60.0, 63.2, 1), (2, "more", 60.0, 20.0, 1)]
+    assert layout.lines(layout.baselines(runs)).orderBy("line_no").collect() == found
+
+
+def test_runs_are_dealt_to_their_pages_before_they_are_gathered(spark):
+    runs = layout.ingest_runs(spark.createDataFrame(_page([(60, ["one", "two"])]), RUNS))
+    plan = layout.run_lines(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("ObjectHashAggregate") < plan.index("Exchange")
+
+
 def test_rotated_and_blank_runs_drop(spark):
     rows = [("d", 0, 612.0, 792.0, i, s, 1.0, b, 10.0, 10.0, w, 0.0) for i, (s, b, w) in
             enumerate([("ok", 0.0, -5.0), ("tilt", 0.5, 5.0), (" ", 0.0, 5.0)])]

@@ -169,3 +169,12 @@ def test_edge_of_a_line_without_width():
     from libsight.operators import layout
     x, r, column = np.array([5.0, 50.0, 50.0]), np.array([5.0, 90.0, 80.0]), np.array([0, 0, 0])
     assert layout._column_edges(x, r, column) == [5.0, 90.0, 90.0]
+
+
+def test_only_white_space_is_trimmed(spark):
+    from libsight.functions import text
+    texts = ["\u3000 a \t b\ufeff\n", " c \u0085", "d\u00a0\u2009e", " ", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = rows.select(text.strip("t").alias("s"), text.squeeze("t").alias("q")).collect()
+    assert [r.s for r in got] == ["a \t b", "c \u0085", "d\u00a0\u2009e", "", ""]
+    assert [r.q for r in got] == [" a b ", " c \u0085", "d e", " ", ""]
