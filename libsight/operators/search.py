@@ -140,17 +140,17 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return tokens.withColumn("length", F.size("tokens"))
 
 
-def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, vocabulary: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Token counts per chunk; a ``vocabulary`` (token) prunes before the shuffle.
 
     Rows are placed by chunk, so what a search groups by chunk afterwards needs
-    no further shuffle.
+    no further shuffle; ``tasks`` says over how many tasks.
     """
     words = tokenised(chunks).select("chunk_id", "item_key", "length",
                                      F.explode("tokens").alias("token"))
     if vocabulary is not None:
         words = words.join(vocabulary, "token", "left_semi")
-    words = words.repartition("chunk_id")
+    words = words.repartition(tasks, "chunk_id") if tasks else words.repartition("chunk_id")
     return words.groupBy("token", "chunk_id", "item_key", "length").agg(
         F.count("*").alias("tf"))
 
@@ -235,9 +235,26 @@ def bm25(queries: DataFrame, posting_rows: DataFrame, stats: DataFrame,
     return normalised(raw_bm25(queries, posting_rows, stats, pool, by_chunk))
 
 
+#: Pairs of a query and a chunk that one task may have to sum up, and the most tasks dealt out for that.
+PAIRS_PER_TASK = 1_000_000
+MOST_TASKS = 20_000
+
+
+def _tasks(queries: DataFrame, chunks: DataFrame) -> int:
+    """Tasks to place postings in, so that a task's pairs do not grow with the tables.
+
+    Postings are small and their pairs with the queries many, so neither the usual number of
+    partitions nor one found by the postings' bytes bounds what a task holds.
+    """
+    usual = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = queries.select("query_id").count() * chunks.select("chunk_id").count()
+    return max(usual, min(MOST_TASKS, -(-pairs // PAIRS_PER_TASK)))
+
+
 def _raw_scores(queries: DataFrame, chunks: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     vocabulary = broadcast_if_small(query_tokens(queries).select("token").distinct())
-    return raw_bm25(queries, postings(chunks, vocabulary), corpus_stats(chunks), pool, by_chunk=True)
+    placed = postings(chunks, vocabulary, _tasks(queries, chunks))
+    return raw_bm25(queries, placed, corpus_stats(chunks), pool, by_chunk=True)
 
 
 def lexical_scores(queries: DataFrame, chunks: DataFrame, pool: DataFrame | None = None) -> DataFrame:
@@ -540,6 +557,9 @@ def evidence(queries: DataFrame, chunks: DataFrame, per_item: int = 3) -> DataFr
     Pairs come from shared tokens; an item without any has no evidence and needs
     no row.
     """
-    shares = _shares(_raw_scores(queries, chunks), ["query_id", "item_key"])
+    # scored once; ranks gather the rows of a query and an item anyway, so the best score is found there too
+    scores = _raw_scores(queries, chunks).repartition(_tasks(queries, chunks), "query_id", "item_key")
+    best = F.max("score").over(Window.partitionBy("query_id", "item_key"))
+    shares = scores.withColumn("score", F.col("score") / best).where(F.col("score") > MIN_SCORE).withColumn("lexical", F.col("score"))
     order = [F.round("score", DIGITS).desc(), F.col("chunk_id")]
     return top_per_group(shares, ["query_id", "item_key"], order, per_item, "position")

@@ -248,6 +248,17 @@ def test_columns_do_not_weld(spark):
     assert [p.text.split()[0] for p in paras] == ["left", "right"] and [p.lines for p in paras] == [25, 25]
 
 
+def test_postings_are_dealt_out_by_their_pairs(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, i % 3, f"alpha beta w{i % 7}") for i in range(300)], "chunk_id int, item_key int, text string")
+    queries = spark.createDataFrame([(i, f"alpha w{i}") for i in range(5)], "query_id int, query string")
+    plain = sorted(map(tuple, search.evidence(queries, chunks).collect()))
+    monkeypatch.setattr(search, "PAIRS_PER_TASK", 10)
+    assert search._tasks(queries, chunks) == 150
+    plan = search.lexical_scores(queries, chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "150), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, search.evidence(queries, chunks).collect())) == plain and len(plain) > 5
+
+
 def test_marker_alone_on_its_line_drops(spark):
     run = [("d", 0, 612.0, 792.0, n, text, 1.0, 0.0, x, y, 20.0, height) for n, (text, x, y, height) in enumerate(
         [("body", 60.0, 700.0, 10.0), ("of", 83.0, 700.0, 10.0), ("2", 103.2, 703.0, 6.0), ("*", 300.0, 700.0, 6.0), ("more", 60.0, 680.0, 10.0)])]
