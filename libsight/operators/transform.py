@@ -42,6 +42,16 @@ def _groups(values: Sequence, size: int) -> Iterator[Sequence]:
         yield values[start:start + size]
 
 
+#: Rows sent back at a time: a whole Arrow batch with its answers beside it takes several times its bytes.
+ROWS_BACK = 256
+
+
+def _parts(batches: Iterator[pd.DataFrame], batch: int) -> Iterator[pd.DataFrame]:
+    """Arrow batches in parts of whole calls."""
+    for frame in batches:
+        yield from _groups(frame, batch * max(1, ROWS_BACK // batch))
+
+
 # --- model map
 
 def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id: str | Column = "",
@@ -74,7 +84,7 @@ def model_map(df: DataFrame, fn: TextFn, prompt: str, model: str = "", prompt_id
         return list(one_by_one(texts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for frame in _parts(batches, batch):
             done = [pair for group in _groups(frame[prompt].tolist(), batch) for pair in ask(group)]
             yield frame.assign(answer=[a for a, _ in done], error=[e for _, e in done])
 
@@ -113,7 +123,7 @@ def embed(chunks: DataFrame, fn: Callable[[list[str]], list[list[float]]],
             return [None] * len(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for frame in _parts(batches, batch):
             yield frame.assign(embedding=[
                 v for group in _groups(frame["text"].tolist(), batch) for v in vectors_of(group)])
 
@@ -160,7 +170,7 @@ def run_engine(pending: DataFrame, engine: Engine) -> DataFrame:
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fatal: str | None = None
-        for frame in batches:
+        for frame in _parts(batches, engine.batch):
             values: list[str] = []
             errors: list[str | None] = []
             for group in _groups(frame["text"].tolist(), engine.batch):

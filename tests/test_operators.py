@@ -248,6 +248,13 @@ def test_columns_do_not_weld(spark):
     assert [p.text.split()[0] for p in paras] == ["left", "right"] and [p.lines for p in paras] == [25, 25]
 
 
+def test_answers_go_back_in_parts_of_whole_calls():
+    import pandas as pd
+    frames = [pd.DataFrame({"text": range(600)}), pd.DataFrame({"text": range(5)})]
+    assert [len(p) for p in transform._parts(iter(frames), 100)] == [200, 200, 200, 5]
+    assert [len(p) for p in transform._parts(iter(frames), 1000)] == [600, 5]
+
+
 def test_postings_are_dealt_out_by_their_pairs(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, i % 3, f"alpha beta w{i % 7}") for i in range(300)], "chunk_id int, item_key int, text string")
     queries = spark.createDataFrame([(i, f"alpha w{i}") for i in range(5)], "query_id int, query string")
