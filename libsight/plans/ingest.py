@@ -14,6 +14,7 @@ from libsight.plans.texts import ITEM_CHUNKS, KEYED, SENTENCES
 from libsight.plans.registry import Tables, query
 from libsight.plans.retrieval import BM25, _documents_as_items
 from libsight.sources import digests, payloads
+from libsight.sources.fixtures import spread
 
 
 # --- landed payloads, built from the tables and read back
@@ -90,7 +91,8 @@ def rank_ingest(t: Tables) -> DataFrame:
     payload = F.concat(F.lit('{"data":{"officialRank":{"all":{"sciUp":"Q'), tier, F.lit(
         '","jcr":"official"}},"customRank":{"rankInfo":[{"abbName":"own","uuid":"u1","rank":"'), segment, F.lit(
         '"},{"abbName":"jcr","uuid":"u2","rank":"custom"},{"abbName":"nameless"}]}}}'))
-    records = payloads.rank_records(t.customer.select(F.col("c_custkey").alias("venue_key"), payload.alias("payload")))
+    customers = spread(t.customer, "c_custkey")  # short rows: a file too small to split holds many
+    records = payloads.rank_records(customers.select(F.col("c_custkey").alias("venue_key"), payload.alias("payload")))
     return records.select("venue_key", F.explode("record").alias("field", "label"))
 
 

@@ -123,17 +123,23 @@ def rank_records(landed: DataFrame) -> DataFrame:
     """Rank maps per venue: the official map with custom ranks laid over it."""
     schema = ("data struct<officialRank:struct<all:map<string,string>>,"
               "customRank:struct<rankInfo:array<struct<abbName:string,uuid:string,rank:string>>>>")
-    data = F.from_json("payload", schema)["data"]
     empty = F.create_map().cast("map<string,string>")
-    named = F.filter(data["customRank"]["rankInfo"], lambda r: (
+    # an array of one is exploded where a value is used several times, so that it is made once
+    read = landed.select("venue_key", _once(F.from_json("payload", schema)["data"], "_data"))
+    named = F.filter(F.col("_data")["customRank"]["rankInfo"], lambda r: (
         F.coalesce(r["abbName"], F.lit("")) != "") & (F.coalesce(r["uuid"], F.lit("")) != ""))
-    keys = F.array_distinct(F.transform(named, lambda r: r["abbName"]))
+    listed = read.select("venue_key", F.col("_data")["officialRank"]["all"].alias("_all"), _once(named, "_named"))
+    keyed = listed.select("*", _once(F.array_distinct(F.transform("_named", lambda r: r["abbName"])), "_keys"))
     # of several ranks under one name the last one counts
-    values = F.transform(keys, lambda k: F.coalesce(F.element_at(
-        F.filter(named, lambda r: r["abbName"] == k), -1)["rank"], F.lit("")))
-    custom = F.coalesce(F.map_from_arrays(keys, values), empty)
-    record = overlay_map(F.coalesce(data["officialRank"]["all"], empty), custom)
-    return landed.select("venue_key", record.alias("record")).where(F.size("record") > 0)
+    values = F.transform("_keys", lambda k: F.coalesce(F.element_at(
+        F.filter("_named", lambda r: r["abbName"] == k), -1)["rank"], F.lit("")))
+    custom = keyed.select("venue_key", "_all", _once(F.coalesce(F.map_from_arrays("_keys", values), empty), "_custom"))
+    record = overlay_map(F.coalesce("_all", empty), F.col("_custom"))
+    return custom.select("venue_key", _once(record, "record")).where(F.size("record") > 0)
+
+
+def _once(value: Column, name: str) -> Column:
+    return F.explode(F.array(value)).alias(name)
 
 
 # --- replies of models

@@ -333,3 +333,12 @@ def test_every_prompt_of_a_kind_runs(spark):
     done = prompts.run_each(contexts, prompts.table(spark, custom), lambda texts: [t.upper() for t in texts], "m").collect()
     assert sorted((r.prompt_id, r.answer.split("\n")[-1], r.model) for r in done) == [
         ("page-figure", "P ONE", "m"), ("page-summary", "P ONE", "m"), ("tag-suggest", "TAGS: A", "m")]
+
+
+def test_rank_payloads_are_read_once(spark):
+    payload = ('{"data":{"officialRank":{"all":{"a":"1","b":"2"}},"customRank":{"rankInfo":[{"abbName":"b","uuid":"u","rank":"x"},'
+               '{"abbName":"b","uuid":"v","rank":"y"},{"abbName":"c","uuid":"","rank":"z"}]}}}')
+    df = payloads.rank_records(spark.createDataFrame([(1, payload), (2, "{"), (3, None)], "venue_key int, payload string"))
+    assert [(r[0], dict(r[1])) for r in df.collect()] == [(1, {"a": "1", "b": "y"})]
+    shown = df.select("venue_key", F.explode("record"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("from_json") == 1
