@@ -17,8 +17,10 @@ def title_key(c: Column | str, unicode: bool = False) -> Column:
     ``unicode=True`` keeps letters and digits of every script, so non-Latin
     titles keep a key of their own.
     """
-    drop = r"[^\p{L}\p{N}]" if unicode else "[^a-z0-9]"
-    return F.substring(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), drop, ""), 1, 90)
+    kept = r"\p{L}\p{N}" if unicode else "a-z0-9"
+    # only the text that holds the key is cleaned, not what follows it
+    head = F.regexp_extract(F.lower(F.coalesce(col(c), F.lit(""))), rf"^(?:[^{kept}]*+[{kept}]){{0,90}}", 0)
+    return F.regexp_replace(head, rf"[^{kept}]+", "")
 
 
 def venue_key(c: Column | str) -> Column:
@@ -30,8 +32,8 @@ def venue_key(c: Column | str) -> Column:
 
 def quote_key(c: Column | str) -> Column:
     """Lower case, single spaces, ASCII word characters only."""
-    return F.regexp_replace(squeeze(F.lower(F.coalesce(col(c), F.lit("")))),
-                            rf"[^A-Za-z0-9_{SPACE}]", "")
+    # after squeezing, the only white space is the space
+    return F.regexp_replace(squeeze(F.lower(F.coalesce(col(c), F.lit("")))), r"[^A-Za-z0-9_ ]+", "")
 
 
 def canonical_doi(doi: Column | str, extra: Column | str | None = None) -> Column:

@@ -178,3 +178,10 @@ def test_only_white_space_is_trimmed(spark):
     got = rows.select(text.strip("t").alias("s"), text.squeeze("t").alias("q")).collect()
     assert [r.s for r in got] == ["a \t b", "c \u0085", "d\u00a0\u2009e", "", ""]
     assert [r.q for r in got] == [" a b ", " c \u0085", "d e", " ", ""]
+
+
+def test_title_key_reads_only_the_head(spark):
+    text = "\u03b1 - " * 3000 + "Ab-1 " * 40
+    plan = spark.createDataFrame([(text,)], "t string").select(keys.title_key("t").alias("k"))
+    assert plan.first()["k"] == ("ab1" * 40)[:90]
+    assert "regexp_extract" in plan._jdf.queryExecution().optimizedPlan().toString()
