@@ -10,7 +10,6 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -107,18 +106,19 @@ class _Clock(StatefulProcessor):
         self.last = handle.getValueState(
             "last", "attachment_key bigint, page int, since_ms bigint, focused boolean, tick_id bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        done = clock.advance(key[0], pd.concat(list(rows)), held, self.cap_ms)
-        if done is not None:
-            found, state = done
-            if held is not None:
-                self.handle.deleteTimer(int(held[2]) + self.idle_ms)
-            self.last.update(state)
-            self.handle.registerTimer(state[2] + self.idle_ms)
-            yield found
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.last.get()
+        done = clock.advance_rows(rows, held, self.cap_ms)
+        if done is None:
+            return iter(())
+        found, state = done
+        if held is not None:
+            self.handle.deleteTimer(held[2] + self.idle_ms)
+        self.last.update(state)
+        self.handle.registerTimer(state[2] + self.idle_ms)
+        return iter(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.last.clear()
         return iter(())
 
@@ -134,7 +134,7 @@ def credits(ticks: DataFrame, cap_seconds: float = reading.TICK_CAP_SECONDS, idl
     watermark drop; readers idle for ``idle_hours`` of event time are forgotten.
     """
     step = _Clock(int(cap_seconds * 1000), int(idle_hours * 3_600_000))
-    return ticks.withWatermark("ts", late).groupBy("reader_id").transformWithStateInPandas(
+    return ticks.withWatermark("ts", late).groupBy("reader_id").transformWithState(
         step, clock.CREDITS, "Append", "EventTime", eventTimeColumnName="ts")
 
 

@@ -188,3 +188,22 @@ def test_heat_buckets_equal_the_dense_resampling(spark):
         (r.item_key, i, x) for r in wide for i, x in enumerate(r.b) if x > 0}
     odd = spark.createDataFrame([(1, 2**31 - 1, 5), (1, 0, 7), (1, -1, 9)], "item_key int, page int, deciseconds bigint")
     assert sorted(tuple(r) for r in reading.heat_buckets(odd).collect()) == [(1, 0, 0.7), (1, 119, 0.5)]
+
+
+def test_clock_on_rows_equals_the_clock_on_frames():
+    import pandas as pd
+    from pyspark.sql import Row
+    draw, start, naive = random.Random(7), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), {"tzinfo": None}
+    for _ in range(60):
+        ticks = [dict(tick_id=i, reader_id=4, attachment_key=draw.randrange(2), item_key=1, page=draw.randrange(3), num_pages=9,
+                      focused=draw.random() < 0.8, ts=start + dt.timedelta(microseconds=draw.randrange(60_000_000))) for i in range(12)]
+        held_rows = held_frames = None
+        for part in (ticks[:6], ticks[6:]):
+            rows = clock.advance_rows([Row(**t) for t in part], held_rows, 20_000)
+            frames = clock.advance(4, pd.DataFrame([{**t, "ts": t["ts"].replace(**naive)} for t in part]), held_frames, 20_000)
+            assert (rows is None) == (frames is None)
+            if rows is None:
+                continue
+            want = [tuple(None if pd.isna(v) else v for v in r) for r in frames[0].itertuples(index=False)]
+            assert [(*r[:5], r[5].replace(**naive), *r[6:]) for r in rows[0]] == want and rows[1] == frames[1]
+            held_rows, held_frames = rows[1], frames[1]
