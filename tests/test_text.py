@@ -185,3 +185,28 @@ def test_title_key_reads_only_the_head(spark):
     plan = spark.createDataFrame([(text,)], "t string").select(keys.title_key("t").alias("k"))
     assert plan.first()["k"] == ("ab1" * 40)[:90]
     assert "regexp_extract" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _pieces_by_loop(text, weights):
+    total, start, passed, out = sum(weights) or 1, 0, 0, []
+    for weight in weights[:-1]:
+        passed += weight
+        rest = text[start:]
+        target = max(1, min(len(rest) - 1, int(passed / total * len(text) + 0.5) - start))
+        reach = max(8, int(len(rest) * 0.18 + 0.5))
+        marks = [i + 1 for i, ch in enumerate(rest[:-1]) if ch in blocks.BREAK_MARKS and abs(i + 1 - target) <= reach]
+        cut = min(marks, key=lambda i: (abs(i - target), i < target), default=target)
+        out.append(rest[:cut].strip())
+        start += cut
+    return out + [text[start:].strip() if len(weights) > 1 else text]
+
+
+def test_texts_are_cut_without_python(spark):
+    import random
+    draw = random.Random(3)
+    rows = [("".join(draw.choice("ab \n\U0001d11e" + blocks.BREAK_MARKS[:3]) for _ in range(draw.randrange(60))),
+             [float(draw.randrange(4)) for _ in range(draw.randrange(5))]) for _ in range(400)] + [(None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "t string, w array<double>").select("t", "w", blocks.split_across("t", "w").alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for text, weights, got in df.collect():
+        assert got == (None if text is None else _pieces_by_loop(text, weights))
