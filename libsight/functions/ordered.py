@@ -81,7 +81,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-              hot_rows: int = 5_000_000, splits: int = 64) -> DataFrame:
+              hot_rows: int = 5_000_000, splits: int = 64, broadcast: bool = True) -> DataFrame:
     """Equi-join whose hot keys in ``big`` are spread over ``splits`` tasks each.
 
     A key is hot when it has more than ``hot_rows`` rows, so there are at most
@@ -89,6 +89,7 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
     ``small`` are copied only for the hot keys.  Unlike run-time skew handling
     this also holds when an aggregate on the same key follows.  Rows are spread by
     a hash of their columns (maps have none), which a recomputed task repeats.
+    ``broadcast=False`` keeps both sides off the driver, for sides whose size Spark can only guess.
     """
     hot = (big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
            .select(*on, F.lit(True).alias("_hot")))
@@ -101,4 +102,6 @@ def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "i
         F.array(F.lit(0)))
     right = (small.join(F.broadcast(hot), list(on), "left")
              .withColumn("_salt", F.explode(copies)).drop("_hot"))
+    if not broadcast:
+        left, right = left.hint("merge"), right.hint("merge")
     return left.join(right, [*on, "_salt"], how).drop("_salt")

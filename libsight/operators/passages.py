@@ -44,7 +44,8 @@ def anchor(quotes: DataFrame, pages: DataFrame, normalised: bool = False) -> Dat
     """
     asked = quotes.withColumns({"page": F.col("page") - 1, "_q": keys.quote_key("quote")})
     texts = pages.select("doc_id", "page", (F.col("text") if normalised else keys.quote_key("text")).alias("_t"))
-    joined = skew_join(asked, texts, ["doc_id", "page"])
+    # quotes cut out of answers are larger than Spark expects, so they must not be broadcast
+    joined = skew_join(asked, texts, ["doc_id", "page"], broadcast=False)
     at = F.when(F.length("_q") >= MIN_QUOTE, F.instr(F.col("_t"), F.col("_q"))).otherwise(0)
     return joined.withColumn("_at", at).select(
         *[c for c in quotes.columns if c != "page"], "page",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from libsight.functions import ordered
 from libsight.functions.substring import contains_join
-from libsight.operators import context, layout, refs, review, search, tags, transform
+from libsight.operators import context, layout, passages, refs, review, search, tags, transform
 from libsight.sources import payloads, snapshots
 from libsight.streaming import jobs, state
 
@@ -342,3 +342,11 @@ def test_rank_payloads_are_read_once(spark):
     assert [(r[0], dict(r[1])) for r in df.collect()] == [(1, {"a": "1", "b": "y"})]
     shown = df.select("venue_key", F.explode("record"))._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("from_json") == 1
+
+
+def test_quotes_are_not_broadcast(spark):
+    pages = spark.createDataFrame([(1, 0, "One line of words.")], "doc_id bigint, page int, text string")
+    quotes = spark.createDataFrame([(1, 1, "line of words")], "doc_id bigint, page int, quote string")
+    placed = passages.anchor(quotes, pages)
+    assert "SortMergeJoin" in placed._jdf.queryExecution().executedPlan().toString()
+    assert [(r["kind"], r["offset"]) for r in placed.collect()] == [("highlight", 4)]
