@@ -350,3 +350,14 @@ def test_quotes_are_not_broadcast(spark):
     placed = passages.anchor(quotes, pages)
     assert "SortMergeJoin" in placed._jdf.queryExecution().executedPlan().toString()
     assert [(r["kind"], r["offset"]) for r in placed.collect()] == [("highlight", 4)]
+
+
+def test_gutters_of_gathered_pages(spark):
+    runs = spark.range(0, 640).select(
+        F.lit(1).alias("doc_id"), (F.col("id") % 2).cast("int").alias("page"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+        F.col("id").alias("run_no"), F.lit("w").alias("str"), (50 + F.floor(F.col("id") / 2) % 2 * 275).cast("double").alias("x"),
+        (720 - F.floor(F.col("id") / 4) % 50 * 13).cast("double").alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("height"))
+    got = layout.page_gutters(runs)
+    assert sorted(got.collect()) == sorted(layout.gutters(layout.baselines(runs)).collect())
+    assert all(len(r["gutters"]) == 1 for r in got.collect())
+    assert layout.page_gutters(runs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
