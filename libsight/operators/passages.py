@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from libsight.functions import keys, text as tx
 from libsight.functions.ordered import skew_join
 from libsight.operators.transform import TextFn, model_map
+from libsight.session import cut_lineage
 from libsight.sources import payloads
 
 PAGES_PER_CALL = 6
@@ -34,23 +37,26 @@ def pick(pages: DataFrame, fn: TextFn, per_page: int = 2, model: str = "") -> Da
     return payloads.passages(answers)
 
 
-def anchor(quotes: DataFrame, pages: DataFrame, normalised: bool = False) -> DataFrame:
+def anchor(quotes: DataFrame, pages: DataFrame, normalised: bool = False, also: Sequence[str] = ()) -> DataFrame:
     """Place quotes (1-based ``page``) on pages (0-based ``page``).
 
     A quote found in the page's text becomes a highlight with its offset in the
     normalised text; otherwise it is kept as a note on the page.  Quotes on
     pages the document lacks drop.  Both sides are normalised before the join;
-    ``normalised`` says the page texts already are.
+    ``normalised`` says the page texts already are; ``also`` names columns of the pages to keep.
     """
     asked = quotes.withColumns({"page": F.col("page") - 1, "_q": keys.quote_key("quote")})
-    texts = pages.select("doc_id", "page", (F.col("text") if normalised else keys.quote_key("text")).alias("_t"))
+    texts = pages.select("doc_id", "page", (F.col("text") if normalised else keys.quote_key("text")).alias("_t"), *also)
     # quotes cut out of answers are larger than Spark expects, so they must not be broadcast
-    joined = skew_join(asked, texts, ["doc_id", "page"], broadcast=False)
+    if normalised:  # pages gathered by their key stay where they are
+        joined = asked.hint("merge").join(texts, ["doc_id", "page"])
+    else:
+        joined = skew_join(asked, texts, ["doc_id", "page"], broadcast=False)
     at = F.when(F.length("_q") >= MIN_QUOTE, F.instr(F.col("_t"), F.col("_q"))).otherwise(0)
     return joined.withColumn("_at", at).select(
         *[c for c in quotes.columns if c != "page"], "page",
         F.when(F.col("_at") > 0, "highlight").otherwise("note").alias("kind"),
-        F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(F.lit(0)).alias("offset"))
+        F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(F.lit(0)).alias("offset"), *also)
 
 
 def sort_keys(anchored: DataFrame, rectangles: DataFrame | None = None) -> DataFrame:
@@ -72,22 +78,47 @@ def page_text(runs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "page").agg(F.concat(F.array_join(pieces, " "), F.lit(" ")).alias("text"))
 
 
+def _run_keys(texts: Column) -> Column:
+    """``quote_key`` of each text, worked out over all of them at once."""
+    # keys drop the mark and the null character alike, so that a text's own null may become a mark
+    joined = F.array_join(F.transform(texts, lambda s: F.replace(F.coalesce(s, F.lit("")), F.lit("\0"), F.lit("!"))), "\0")
+    return F.split(F.regexp_replace(tx.squeeze(F.lower(joined)), r"[^A-Za-z0-9_ \x00]+", ""), r"\x00", -1)
+
+
+def _covered(keyed: Column, start: Column, end: Column) -> Column:
+    """Places ``lo`` to ``hi`` of the pieces of a page's text that reach into a span; ``lo`` is -1 if none does."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+
+    def step(a: Column, piece: Column) -> Column:
+        reaches = (a["at"] + F.length(piece) >= start) & (a["at"] <= end)
+        return F.struct((a["at"] + F.length(piece) + 1).alias("at"), (a["n"] + 1).alias("n"),
+                        F.when(reaches & (a["lo"] < 0), a["n"]).otherwise(a["lo"]).alias("lo"),
+                        F.when(reaches, a["n"]).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(keyed, zero, step)
+
+
 def quote_rectangles(quotes: DataFrame, runs: DataFrame) -> DataFrame:
     """Line boxes of the runs a quote covers: ``quote_id, line_y, x0, y0, x1, y1``.
 
     ``runs`` has ``doc_id, page, run_no, str, x, y, width, height``; a page is
-    the largest group.
+    the largest group.  Only runs of pages that quotes name are gathered, once a page.
     """
-    order = Window.partitionBy("doc_id", "page").orderBy("run_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length(keys.quote_key("str"))
-    placed = runs.withColumns({
-        "_start": F.coalesce(F.sum(size + 1).over(before), F.lit(0)), "_size": size})
-    anchored = anchor(quotes, page_text(runs), normalised=True).where("kind = 'highlight'").withColumns({
-        "_from": F.col("offset"), "_to": F.col("offset") + F.length(keys.quote_key("quote"))})
-    covered = anchored.select("quote_id", "doc_id", "page", "_from", "_to").join(
-        placed, ["doc_id", "page"]).where(
-        (F.col("_start") + F.col("_size") >= F.col("_from")) & (F.col("_start") <= F.col("_to")))
+    quotes = cut_lineage(quotes)  # read several times below
+    named = quotes.select("doc_id", (F.col("page") - 1).alias("page")).distinct().hint("shuffle_hash")
+    run = F.struct("run_no", "str", "x", "y", "width", "height")
+    pages = (runs.join(named, ["doc_id", "page"], "left_semi").groupBy("doc_id", "page")
+             .agg(F.array_sort(F.collect_list(run)).alias("_r")))
+    keyed = pages.select("doc_id", "page", "_r", F.explode(F.array(_run_keys(F.col("_r.str")))).alias("_k"))
+    texts = keyed.withColumn("text", F.concat(F.array_join("_k", " "), F.lit(" ")))
+    anchored = anchor(quotes, texts, normalised=True, also=("_r", "_k")).where("kind = 'highlight'")
+    # exploded, so that the end is worked out once and not for each run
+    ends = anchored.withColumn("_to", F.explode(F.array(F.col("offset") + F.length(keys.quote_key("quote")))))
+    span = _covered(F.col("_k"), F.col("offset"), F.col("_to"))
+    found = ends.select("quote_id", "doc_id", "page", "_r", F.explode(F.array(span)).alias("_s")).where("_s.lo >= 0")
+    covered = found.select("quote_id", "doc_id", "page", F.explode(F.slice(
+        "_r", F.col("_s.lo") + 1, F.col("_s.hi") - F.col("_s.lo") + 1)).alias("_run")).select(
+        "quote_id", "doc_id", "page", "_run.*")
 
     def two(c):
         return F.floor(c * 100 + 0.5) / 100

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from libsight.functions import ordered
+from libsight.functions import keys, ordered
 from libsight.functions.substring import contains_join
 from libsight.operators import context, layout, passages, refs, review, search, tags, transform
 from libsight.sources import payloads, snapshots
@@ -354,10 +354,24 @@ def test_quotes_are_not_broadcast(spark):
 
 def test_gutters_of_gathered_pages(spark):
     runs = spark.range(0, 640).select(
-        F.lit(1).alias("doc_id"), (F.col("id") % 2).cast("int").alias("page"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+        (F.col("id") % 1).cast("int").alias("doc_id"), (F.col("id") % 2).cast("int").alias("page"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
         F.col("id").alias("run_no"), F.lit("w").alias("str"), (50 + F.floor(F.col("id") / 2) % 2 * 275).cast("double").alias("x"),
         (720 - F.floor(F.col("id") / 4) % 50 * 13).cast("double").alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("height"))
     got = layout.page_gutters(runs)
     assert sorted(got.collect()) == sorted(layout.gutters(layout.baselines(runs)).collect())
     assert all(len(r["gutters"]) == 1 for r in got.collect())
     assert layout.page_gutters(runs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_quoted_runs_are_found_on_the_gathered_page(spark):
+    texts = ["Alpha", " b  c ", "\0x-Y", "", "Omega\n", "İz", None]
+    keyed = spark.createDataFrame([(texts,)], "t array<string>").select(
+        passages._run_keys(F.col("t")).alias("k"), F.transform("t", keys.quote_key).alias("want")).first()
+    assert keyed["k"] == keyed["want"]
+    runs = spark.createDataFrame([(1, 0, n, w, 10.0 * n, 100.0 - 20 * (n // 3), 9.0, 8.0) for n, w in enumerate(
+        "one two three four five six".split())], "doc_id int, page int, run_no int, str string, x double, y double, width double, height double")
+    quotes = spark.createDataFrame([(7, 1, 1, "three, four"), (8, 1, 1, "not there"), (9, 2, 1, "one two")],
+                                   "quote_id int, doc_id int, page int, quote string")
+    found = passages.quote_rectangles(quotes, runs)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["quote_id"], r["line_y"], r["x0"], r["x1"]) for r in found.collect()) == [(7, 80, 30.0, 39.0), (7, 100, 20.0, 29.0)]
