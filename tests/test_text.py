@@ -210,3 +210,10 @@ def test_texts_are_cut_without_python(spark):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     for text, weights, got in df.collect():
         assert got == (None if text is None else _pieces_by_loop(text, weights))
+
+
+def test_kinds_of_texts_without_characters(spark):
+    kinds = [blocks.is_formula("t"), blocks.is_furniture("t"), blocks.is_furniture("t", F.lit(True)), blocks.looks_like_authors("t")]
+    rows = spark.createDataFrame([(t,) for t in ("", " ", "\u00a0\n", ",", "x = 1 + 2")], ["t"])
+    assert [tuple(r) for r in rows.select(*kinds).collect()] == [(False, True, True, False)] * 3 + [
+        (False, False, True, False), (True, False, True, False)]
