@@ -30,11 +30,13 @@ def of_type(items: DataFrame, item_type: str) -> DataFrame:
 
 
 def page_split(documents: DataFrame, page_total: str | None = None, key: str = "doc_id",
-               body: str = "text") -> DataFrame:
+               body: str = "text", plain: bool = False) -> DataFrame:
     """Pages of each text: ``key, page, text, exact``.
 
     Form feeds give exact pages.  Otherwise paragraphs are spread evenly over
-    ``page_total`` pages; with fewer than two the whole text is one page.
+    ``page_total`` pages; with fewer than two the whole text is one page.  In
+    ``plain`` texts form feeds are white space like any other, and a text
+    without characters is one empty page, where else it has no pages.
     """
     t = F.coalesce(F.col(body), F.lit(""))
     paragraphs = F.split(t, rf"\n[{text.SPACE}]*\n")
@@ -43,8 +45,9 @@ def page_split(documents: DataFrame, page_total: str | None = None, key: str = "
     groups = F.ceil(F.size(paragraphs) / per).cast("int")
     spread = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.array_join(
         F.slice(paragraphs, i * per + 1, per), "\n\n"))
-    marked = F.contains(t, F.lit("\f"))
-    pages = (F.when(t == "", F.array().cast("array<string>"))
+    marked = F.lit(False) if plain else F.contains(t, F.lit("\f"))
+    missing = F.col(body).isNull() if plain else t == ""
+    pages = (F.when(missing, F.array().cast("array<string>"))
              .when(marked, F.transform(F.split(t, "\f"), text.strip))
              .when(total < 2, F.array(t)).otherwise(spread))
     return documents.select(key, marked.alias("exact"), F.posexplode(pages).alias("page", "text"))

@@ -375,3 +375,25 @@ def test_quoted_runs_are_found_on_the_gathered_page(spark):
     found = passages.quote_rectangles(quotes, runs)
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["quote_id"], r["line_y"], r["x0"], r["x1"]) for r in found.collect()) == [(7, 80, 30.0, 39.0), (7, 100, 20.0, 29.0)]
+
+
+def test_queries_over_texts_without_characters_equal_their_sql(spark, folder):
+    import os
+
+    import duckdb
+
+    from libsight.plans import ORACLES, QUERIES
+
+    source, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in os.listdir(source):
+        if name != "documents.parquet":
+            os.symlink(f"{source}/{name}", f"{folder}/{name}")
+    con.execute(f"""COPY (SELECT * REPLACE (CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'A page' || chr(12) || text ELSE text END AS text)
+        FROM '{source}/documents.parquet') TO '{folder}/documents.parquet'""")
+    for table in ("documents", "events"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for name in ("attachment_listing", "page_split", "quote_anchors", "annotation_sort_keys"):
+        want = con.execute(ORACLES[name])
+        columns = [d[0] for d in want.description]
+        got = QUERIES[name](spark, folder).select(*columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
