@@ -16,6 +16,7 @@ EVIDENCE_CHARS = 2400
 
 
 def claims_per_paper(papers: int) -> int:
+    """Fewer claims of each of many papers, for a first look; judging takes every claim a model gives."""
     return 3 if papers > 4 else 5
 
 

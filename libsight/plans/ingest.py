@@ -336,9 +336,13 @@ def _judge_model(texts: list[str]) -> list[str]:
     return out
 
 
+def _papers(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("item_key"), F.col("text").alias("context"))
+
+
 def _claims(t: Tables) -> DataFrame:
-    papers = t.benchmark.select(F.col("item_id").alias("item_key"), F.col("text").alias("context"))
-    return claims.extract(papers, _claim_model, limit=claims.claims_per_paper(papers.count()))
+    """Every claim the model gives, however many papers there are."""
+    return claims.extract(_papers(t), _claim_model)
 
 
 def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
@@ -353,8 +357,7 @@ def _cells(t: Tables, extracted: DataFrame | None = None) -> DataFrame:
 
 CLAIMS = """SELECT item_id || ':' || k AS claim_id, item_id AS item_key, array_to_string(w[6 * k + 1:6 * k + 6], ' ') AS claim,
 CAST(k + 1 AS INT) AS page FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM benchmark) b,
-(SELECT unnest(range(5)) AS k) n WHERE 6 * k < least(24, len(w))
-AND k < (SELECT CASE WHEN count(*) > 4 THEN 3 ELSE 5 END FROM benchmark)"""
+(SELECT unnest(range(5)) AS k) n WHERE 6 * k < least(24, len(w))"""
 
 # claims judged by the best three chunks of each source, by the stand-in's rule
 CELLS = (BM25.replace("FROM search_queries", f"FROM (SELECT claim_id AS query_id, claim AS query FROM ({CLAIMS}) c0) q0")
@@ -368,9 +371,11 @@ cells AS (SELECT claim_id, item_key, CASE WHEN length(whole) % 2 = 0 THEN 'suppo
 """)
 
 
-@query(CLAIMS)
+@query(CLAIMS + """
+AND k < (SELECT CASE WHEN count(*) > 4 THEN 3 ELSE 5 END FROM benchmark)""")
 def claim_extract(t: Tables) -> DataFrame:
-    return _claims(t)
+    papers = _papers(t)
+    return claims.extract(papers, _claim_model, limit=claims.claims_per_paper(papers.count()))
 
 
 @query(CELLS + "SELECT * FROM cells")

@@ -230,3 +230,18 @@ def test_tick_logs_resume_where_they_stopped(spark, folder):
     assert seen == [[[0, 1, 2], [10, 11, 12]], [[20, 21, 22]]]
     back = snapshots.ticks(spark, f"{folder}/log", form="json")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for n in range(3) for r in part(n).collect())
+
+
+def test_every_claim_is_judged_however_many_papers(spark):
+    from libsight.plans import ORACLES, QUERIES, ingest
+    from libsight.plans.registry import Tables
+
+    # four claims of a passage of 24 words or more
+    found = ingest._claims(Tables(spark, "/root/testdata/sf0.001"))
+    words = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.size(F.split(F.trim("text"), r"\s+")).alias("n"))
+    assert words.count() > 4
+    assert found.count() == words.agg(F.sum(F.least(F.ceil(F.col("n") / 6), F.lit(4)))).first()[0]
+    for name in ("claim_verdicts", "claim_conflicts", "claim_matrix"):
+        assert "ELSE 5 END" not in ORACLES[name]
+    judged = QUERIES["claim_verdicts"](spark, "/root/testdata/sf0.001")
+    assert judged.where("claim_id like '%:3'").count() > 0
