@@ -397,3 +397,21 @@ def test_queries_over_texts_without_characters_equal_their_sql(spark, folder):
         columns = [d[0] for d in want.description]
         got = QUERIES[name](spark, folder).select(*columns).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_pages_landed_whole_give_the_lines_and_paragraphs_of_their_runs(spark):
+    left = [f"left column line number {i} goes on and" for i in range(25)] + ["© 2020", "Figure 1. end"]
+    right = [f"right column line number {i} goes on-" for i in range(25)]
+    rows = _page([(60, left), (340, right)]) + [("d", 1, 612.0, 792.0, 0, " ", 1.0, 0.0, 9.0, 9.0, 5.0, 9.0), ("d", 2, 612.0, 792.0, 0, "tilt", 1.0, 0.9, 9.0, 9.0, 5.0, 9.0),
+                                                ("d", 3, 612.0, 792.0, 0, "ﬁrst", 1.0, 0.0, 90.0, 700.0, -30.0, None)]
+    runs = spark.createDataFrame(rows, RUNS)
+    landed = runs.groupBy("doc_id", "page", "page_width", "page_height").agg(F.collect_list(F.struct(
+        "run_no", "str", "a", "b", "x", "y", "width", "height")).alias("runs")).localCheckpoint()
+    lines = layout.page_lines(landed)
+    assert sorted(lines.collect()) == sorted(layout.run_lines(layout.ingest_runs(runs)).collect()) and lines.count() == 53
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    paras = layout.reading_order(layout.page_paragraphs(landed))
+    assert sorted(paras.collect()) == sorted(layout.reading_order(layout.paragraphs(lines)).collect()) and paras.count() > 3
+    assert paras._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+    whole = layout.document_paragraphs(landed).select("page", "position", "text")
+    assert sorted(whole.collect()) == sorted(layout.document_paragraphs(runs).select("page", "position", "text").collect())
