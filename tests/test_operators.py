@@ -415,3 +415,34 @@ def test_pages_landed_whole_give_the_lines_and_paragraphs_of_their_runs(spark):
     assert paras._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
     whole = layout.document_paragraphs(landed).select("page", "position", "text")
     assert sorted(whole.collect()) == sorted(layout.document_paragraphs(runs).select("page", "position", "text").collect())
+
+
+def test_references_start_at_the_first_heading_however_many_documents_have_one(spark, monkeypatch):
+    rows = [(d, p, n, "References" if d % 2 and (p, n) in ((1, 2), (3, 1)) else None if n == 3 else "text") for d in range(6) for p in range(40) for n in (1, 2, 3)]
+    paras = spark.createDataFrame(rows, "doc_id int, page int, position int, text string")
+    want = sorted((d, p, n, bool(d % 2) and (p, n) >= (1, 2)) for d, p, n, _ in rows)
+    for most in (layout.HEADINGS, 0):
+        monkeypatch.setattr(layout, "HEADINGS", most)
+        got = layout.reference_section(paras)
+        assert sorted((r.doc_id, r.page, r.position, r.in_references) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert ("BroadcastHashJoin" in plan and "hashpartitioning" not in plan) == (most > 0)
+
+
+def test_texts_are_shuffled_once_to_their_units(spark):
+    first = "this fragment is long enough to go on into the next and"
+    texts = [first, "and this one runs on", "and so does this", "and this is one more", "The end.", first, "and ends."]
+    rows = [("d", 30 + i // 2, i % 2 + 1, "body", t) for i, t in enumerate(texts)]
+    paras = spark.createDataFrame(rows, "doc_id string, page int, position int, kind string, text string").localCheckpoint()
+    found = layout.fragment_units(paras)
+    got = sorted((r.page, r.position, r.unit_id, r.part, r.parts) for r in found.collect())
+    assert [g[4] for g in got] == [3, 3, 3, 1, 1, 2, 2] and len({g[2] for g in got}) == 4
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n") if "Scan ExistingRDD" in line and "text" in line]
+    assert len(moved) == 1
+    units = sorted((tuple(f["text"] for f in r.fragments)) for r in layout.whole_units(found).collect())
+    assert units == sorted([tuple(texts[:3]), (texts[3],), (texts[4],), tuple(texts[5:])])
+    engine = transform.Engine("loud", lambda texts: [t.upper() for t in texts])
+    texted = layout.whole_units(found).withColumn("text", F.array_join("fragments.text", " "))
+    back = layout.back_to_fragments(transform.translate(texted, [engine], "loud", "en"))
+    assert sorted((r.page, r.position, r.text) for r in back.collect()) == [(r[1], r[2], r[4]) for r in rows]
+    assert "".join(r.translated for r in back.orderBy("page", "position").collect()).replace(" ", "") == "".join(texts).replace(" ", "").upper()
